@@ -2,6 +2,9 @@
 
 One SQL text per view serves both engines; only the conversion of a timestamp to microseconds
 (``us``) differs. The views are projections and joins over whole tables.
+
+Money in cents is scaled by an odd divisor: no value then ends exactly half-way at the sixth
+decimal place, where the two engines' ``round`` follow different rules.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ SELECT us(l_shipdate) AS start_time,
        CASE WHEN l_returnflag = 'R' THEN CAST(l_linenumber AS BIGINT) END AS alloc_instance_index,
        CASE WHEN l_linestatus = 'O' THEN CAST(0 AS BIGINT)
             WHEN l_linenumber % 2 = 0 THEN CAST(1 AS BIGINT) END AS collection_type,
-       l_extendedprice / CAST(70000 AS DOUBLE) AS avg_cpus,
-       l_extendedprice * (1 + l_tax) / CAST(70000 AS DOUBLE) AS max_cpus,
+       l_extendedprice / CAST(70001 AS DOUBLE) AS avg_cpus,
+       l_extendedprice * (1 + l_tax) / CAST(70001 AS DOUBLE) AS max_cpus,
        l_discount AS assigned_memory,
        l_tax AS page_cache_memory,
        l_quantity / CAST(7 AS DOUBLE) AS cycles_per_instruction,
@@ -114,8 +117,8 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionke
     "instance_events": _events_as_union(*EVENT_VIEWS["instance_events"]),
     "power": """
 SELECT us(o_orderdate) AS time, r_name AS cell, n_name AS pdu,
-       o_totalprice / CAST(700000 AS DOUBLE) AS measured_power_util,
-       o_totalprice / CAST(900000 AS DOUBLE) AS production_power_util,
+       o_totalprice / CAST(700001 AS DOUBLE) AS measured_power_util,
+       o_totalprice / CAST(900001 AS DOUBLE) AS production_power_util,
        o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' AS bad_measurement_data,
        CASE WHEN o_orderstatus = 'O' AND o_orderpriority = '4-NOT SPECIFIED' THEN NULL
             ELSE o_orderstatus = 'F' AND o_orderpriority = '5-LOW' END AS bad_production_power_data
