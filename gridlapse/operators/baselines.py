@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
@@ -127,6 +128,7 @@ def fit_baseline(name: str, train: DataFrame, label: str, seed: int = 42, **opti
         numTrees=options.get("trees", FOREST_TREES),
         maxDepth=options.get("depth", FOREST_DEPTH),
         featureSubsetStrategy="all",
+        maxMemoryInMB=options.get("node_memory_mb", 1024),
         seed=seed,
     )
     return Baseline(name, features, model=forest.fit(_assemble(train, features)))
@@ -169,8 +171,11 @@ def fit_and_score(
     names = list(models) if models else list(BASELINE_FEATURES)
     needed = list(dict.fromkeys([label, *[f for n in names for f in BASELINE_FEATURES[n]]]))
     data = require_columns(dataset, [*needed, "split"]).select("split", *needed)
-    train = data.where(F.col("split") == "train")
-    fitted = [fit_baseline(name, train, label, seed, **options) for name in names]
+    train = data.where(F.col("split") == "train").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fitted = [fit_baseline(name, train, label, seed, **options) for name in names]
+    finally:
+        train.unpersist()
     scored = data.where(F.col("split").isin("val", "test"))
     if holdout is not None:
         unseen = require_columns(holdout, needed, "holdout columns")

@@ -179,13 +179,18 @@ def scheduling_class_mix(states: DataFrame) -> DataFrame:
 
 
 def flex_dataset_summary(windows: DataFrame) -> DataFrame:
-    """Row, PDU and index range, five means, three correlations (NaN below two complete pairs)."""
+    """Row, PDU and index range, five means, three correlations.
+
+    A correlation is NaN below two complete pairs and for a constant side; the built-in ``corr``
+    raises on the latter, so it is put together from covariance and deviations.
+    """
 
     def correlation(name: str) -> Column:
-        both = F.col(name).isNotNull() & F.col("measured_power_util").isNotNull()
-        enough = F.count_if(both) >= 2
-        value = F.coalesce(F.corr(name, "measured_power_util"), F.lit(float("nan")))
-        return F.when(enough, value).otherwise(F.lit(float("nan")))
+        x, y = F.col(name).cast("double"), F.col("measured_power_util").cast("double")
+        both = x.isNotNull() & y.isNotNull()
+        spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+        value = F.try_divide(F.covar_pop(x, y), spread)
+        return F.coalesce(F.when(F.count_if(both) >= 2, value), F.lit(float("nan")))
 
     return windows.agg(
         F.count(F.lit(1)).alias("row_count"),

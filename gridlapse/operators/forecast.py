@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.ml import Model
 from pyspark.ml.regression import (
@@ -15,7 +15,8 @@ from pyspark.ml.regression import (
     RandomForestRegressionModel,
     RandomForestRegressor,
 )
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlapse.functions.expressions import residual_target
@@ -29,6 +30,7 @@ from gridlapse.operators.evaluate import (
     winner_counts,
 )
 from gridlapse.operators.sequence import (
+    IS_TARGET,
     Standardizer,
     apply_standardizer,
     fit_standardizer,
@@ -38,7 +40,7 @@ from gridlapse.operators.sequence import (
     with_history,
 )
 from gridlapse.plans.blocks import Series
-from gridlapse.schema import DEFAULT_SEEDS, feature_set
+from gridlapse.schema import DEFAULT_SEEDS, METRICS, feature_set
 
 ANCHOR = "prev_measured_power_util"
 LOADERS = {
@@ -79,8 +81,10 @@ class SequenceSpec:
     def prepare(self, df: DataFrame) -> DataFrame:
         return residual_target(df, self.label, ANCHOR) if self.residual else df
 
-    def windows(self, df: DataFrame, history: DataFrame | None, standardizer: Standardizer) -> DataFrame:
-        carried = [ANCHOR] if self.residual and ANCHOR not in self.series.keys else []
+    def windows(
+        self, df: DataFrame, history: DataFrame | None, standardizer: Standardizer
+    ) -> DataFrame:
+        """Scaled, flattened windows of ``df``'s rows with the anchor of each target."""
         rows = with_history(
             self.prepare(df), None if history is None else self.prepare(history)
         )
@@ -89,10 +93,10 @@ class SequenceSpec:
             self.features,
             self.target,
             self.context_length,
-            carry_columns=carried,
+            carry_columns=[ANCHOR] if self.residual else [],
             series=self.series,
         )
-        return flatten_lags(apply_standardizer(raw, standardizer))
+        return flatten_lags(apply_standardizer(raw, standardizer)).drop("context")
 
 
 @dataclass(frozen=True)
@@ -103,12 +107,15 @@ class SequenceRegressor:
 
     def predict(self, df: DataFrame, history: DataFrame | None = None) -> DataFrame:
         """(cell, pdu, window_start, y, prediction) in units of the label."""
-        windows = self.spec.windows(df, history, self.standardizer)
+        return self.predict_windows(self.spec.windows(df, history, self.standardizer))
+
+    def predict_windows(self, windows: DataFrame, *keep: str) -> DataFrame:
         scored = self.model.transform(windows)
         anchor = F.col(ANCHOR) if self.spec.residual else F.lit(0.0)
         return scored.select(
             *self.spec.series.keys,
             self.spec.series.order,
+            *keep,
             (self.standardizer.invert_target(F.col("target")) + anchor).alias("y"),
             (self.standardizer.invert_target(F.col("prediction")) + anchor).alias("prediction"),
         )
@@ -116,19 +123,13 @@ class SequenceRegressor:
     def save(self, path: str) -> None:
         """Spark ML model plus a one-row JSON dataset with the spec and the standardizer."""
         self.model.write().overwrite().save(f"{path}/model")
-        spec = {k: v for k, v in self.spec.__dict__.items() if k != "series"}
-        spec["series"] = dict(self.spec.series.__dict__)
-        payload = json.dumps({"spec": spec, "standardizer": json.loads(self.standardizer.to_json())})
-        spark = self.model.sparkSession if hasattr(self.model, "sparkSession") else None
-        from pyspark.sql import SparkSession
-
-        spark = spark or SparkSession.getActiveSession()
-        spark.createDataFrame([(payload,)], "value string").coalesce(1).write.mode(
+        payload = json.dumps({"spec": asdict(self.spec), "standardizer": asdict(self.standardizer)})
+        SparkSession.getActiveSession().createDataFrame([(payload,)], "value string").coalesce(1).write.mode(
             "overwrite"
         ).text(f"{path}/settings")
 
     @staticmethod
-    def load(spark, path: str) -> SequenceRegressor:
+    def load(spark: SparkSession, path: str) -> SequenceRegressor:
         raw = json.loads(spark.read.text(f"{path}/settings").first()[0])
         settings = raw["spec"]
         series = settings.pop("series")
@@ -148,25 +149,52 @@ def _learner(spec: SequenceSpec, seed: int):
     return RandomForestRegressor(**common, numTrees=50, maxDepth=8, seed=seed)
 
 
-def fit_sequence_regressor(
-    train: DataFrame, spec: SequenceSpec = SequenceSpec(), seed: int = 42
-) -> SequenceRegressor:
+def fit_scaling(train: DataFrame, spec: SequenceSpec) -> Standardizer:
     stats = fit_standardizer(
         spec.prepare(train), spec.features, spec.target, spec.context_length, series=spec.series
     )
     standardizer = load_standardizer(stats)
-    if spec.target_scaling == "none":
-        standardizer = standardizer.without_target_scaling()
-    windows = spec.windows(train, None, standardizer)
-    return SequenceRegressor(spec, standardizer, _learner(spec, seed).fit(windows))
+    return standardizer if spec.target_scaling == "standard" else standardizer.without_target_scaling()
+
+
+def fit_sequence_regressor(
+    train: DataFrame, spec: SequenceSpec = SequenceSpec(), seed: int = 42
+) -> SequenceRegressor:
+    standardizer = fit_scaling(train, spec)
+    windows = spec.windows(train, None, standardizer).select("features", "target")
+    # Learners pass over their input several times; blocks that do not fit in memory go to disk.
+    windows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return SequenceRegressor(spec, standardizer, _learner(spec, seed).fit(windows))
+    finally:
+        windows.unpersist()
+
+
+def split_windows(dataset: DataFrame, spec: SequenceSpec, standardizer: Standardizer) -> DataFrame:
+    """Windows of the val and test rows, each with all earlier splits as history.
+
+    The splits follow each other in time, so the rows before a window are the same rows whether or
+    not the later splits are present: one pass over the whole dataset serves both.
+    """
+    tagged = dataset.withColumnRenamed("split", "_split")
+    rows = tagged.where(F.col("_split").isin("train", "val", "test"))
+    target = rows.withColumn(IS_TARGET, F.col("_split").isin("val", "test"))
+    raw = sequence_windows(
+        spec.prepare(target),
+        spec.features,
+        spec.target,
+        spec.context_length,
+        carry_columns=["_split", *([ANCHOR] if spec.residual else [])],
+        series=spec.series,
+    )
+    scaled = flatten_lags(apply_standardizer(raw, standardizer)).drop("context")
+    return scaled.withColumnRenamed("_split", "split")
 
 
 def score_splits(regressor: SequenceRegressor, dataset: DataFrame) -> DataFrame:
-    """Predictions for val and test, each with all earlier splits as history."""
-    train, val, test = (dataset.where(F.col("split") == s).drop("split") for s in ("train", "val", "test"))
-    on_val = regressor.predict(val, train).withColumn("split", F.lit("val"))
-    on_test = regressor.predict(test, train.unionByName(val)).withColumn("split", F.lit("test"))
-    return on_val.unionByName(on_test)
+    """Predictions for the val and test rows of a split dataset."""
+    windows = split_windows(dataset, regressor.spec, regressor.standardizer)
+    return regressor.predict_windows(windows, "split")
 
 
 def score_holdout(regressor: SequenceRegressor, holdout: DataFrame) -> DataFrame:
@@ -192,6 +220,9 @@ class StabilityReport:
     winners: DataFrame
 
 
+METRIC_COLUMNS = ("family", "model", "seed", "split", "sample_count", *METRICS)
+
+
 def seed_stability(
     dataset: DataFrame,
     holdout: DataFrame,
@@ -205,35 +236,52 @@ def seed_stability(
 ) -> StabilityReport:
     """Repeat fit and evaluation per seed and summarize.
 
-    Each fit is a distributed job; the loop over seeds only submits them. ``done`` may hold metric
-    rows of an earlier run: seeds found there are not run again.
+    Each fit is a distributed job; the loop over seeds only submits them. Windows do not depend on
+    the seed and are built once. A run leaves one metric row per model and split, and only those
+    rows are brought back. ``done`` may hold metric rows of an earlier call: its seeds are skipped.
     """
-    columns = ["family", "model", "seed", "split", "sample_count", "mae", "rmse", "mape", "smape", "r2"]
-    finished = set()
-    metrics = None
-    if done is not None:
-        finished = {row["seed"] for row in done.select("seed").distinct().collect()}
-        metrics = done.select(*columns)
+    spark = dataset.sparkSession
+    rows = [] if done is None else [tuple(r) for r in done.select(*METRIC_COLUMNS).collect()]
+    finished = {row[METRIC_COLUMNS.index("seed")] for row in rows}
+    wanted = [seed for seed in seeds if seed not in finished]
     train = dataset.where(F.col("split") == "train").drop("split")
-    for seed in seeds:
-        if seed in finished:
-            continue
-        regressor = fit_sequence_regressor(train, spec, seed)
-        unseen = regressor.predict(holdout).withColumn("split", F.lit("holdout"))
-        scored = score_splits(regressor, dataset).unionByName(unseen)
-        deep = regression_metrics(scored, ["split"]).withColumns(
-            {"family": F.lit("deep"), "model": F.lit(name), "seed": F.lit(seed)}
-        )
-        plain = fit_and_score(dataset, spec.label, holdout=holdout, models=baselines, seed=seed, **options)
-        for part in (deep, plain):
-            part = part.select(*columns)
-            metrics = part if metrics is None else metrics.unionByName(part)
+    kept = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
+
+    try:
+        if wanted:
+            scaling = fit_scaling(train, spec)
+            on_train = keep(spec.windows(train, None, scaling).select("features", "target"))
+            unseen = spec.windows(holdout, None, scaling).withColumn("split", F.lit("holdout"))
+            scored = keep(split_windows(dataset, spec, scaling).unionByName(unseen))
+        for seed in wanted:
+            model = SequenceRegressor(spec, scaling, _learner(spec, seed).fit(on_train))
+            deep = regression_metrics(model.predict_windows(scored, "split"), ["split"])
+            deep = deep.withColumns(
+                {"family": F.lit("deep"), "model": F.lit(name), "seed": F.lit(seed)}
+            )
+            plain = fit_and_score(
+                dataset, spec.label, holdout=holdout, models=baselines, seed=seed, **options
+            )
+            both = deep.select(*METRIC_COLUMNS).unionByName(plain.select(*METRIC_COLUMNS))
+            rows += [tuple(r) for r in both.collect()]
+    finally:
+        for df in kept:
+            df.unpersist()
+    schema = "family string, model string, seed long, split string, sample_count long, " + ", ".join(
+        f"{m} double" for m in METRICS
+    )
+    metrics = spark.createDataFrame(rows, schema)
     on_holdout = metrics.where(F.col("split") == "holdout")
-    deep_runs = on_holdout.where(F.col("model") == name)
-    first = on_holdout.where(F.col("model") == baselines[0])
     return StabilityReport(
         metrics,
         stability_table(metrics, [name, *baselines]),
         run_summary(metrics.where(F.col("split").isin("test", "holdout"))),
-        winner_counts(deep_runs, first),
+        winner_counts(
+            on_holdout.where(F.col("model") == name),
+            on_holdout.where(F.col("model") == baselines[0]),
+        ),
     )

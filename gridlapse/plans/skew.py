@@ -60,8 +60,9 @@ def _tag(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _salt_of_row(df: DataFrame) -> Column:
     """Salt from the row's content and its input partition.
 
-    Both stay the same when a lost task is run again, so no row can move between two attempts. The
-    partition number also spreads rows that are exact copies of each other.
+    Both stay the same when a lost task is run again, so no row can move between two attempts; a
+    random number or a row position would not. The partition number spreads rows that are exact
+    copies of each other as widely as the input files hold them.
     """
     hashable = [
         F.col(field.name) for field in df.schema.fields if not isinstance(field.dataType, T.MapType)

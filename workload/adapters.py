@@ -134,7 +134,7 @@ FROM events
 """,
     "series_us": """
 SELECT cell, pdu, window_index * 300000000 AS window_start,
-       avg(value) / CAST(97 AS DOUBLE) AS measured_power_util,
+       avg(value * (1 + user_id % 7)) / CAST(97 AS DOUBLE) AS measured_power_util,
        max(value) / CAST(131 AS DOUBLE) AS production_power_util,
        count(*) AS instance_count,
        count(DISTINCT user_id) AS collection_count,
