@@ -32,8 +32,18 @@ def _counts(spark: SparkSession, path: str) -> dict[str, int]:
     return {r["split"]: r["count"] for r in stored.groupBy("split").count().collect()}
 
 
+def _gathered(df: DataFrame, *keys: str) -> DataFrame:
+    """Bring rows of the same directory together before a partitioned write.
+
+    Otherwise every task writes a file into every directory. ``rebalance`` lets adaptive execution
+    cut a large directory into several tasks and merge small ones, so a hot key is no bottleneck.
+    """
+    return df.hint("rebalance", *[F.col(key) for key in keys])
+
+
 def _write_splits(df: DataFrame, path: str) -> None:
-    df.sortWithinPartitions("split", "cell", "pdu", "window_start").write.mode(
+    gathered = _gathered(df, "split")
+    gathered.sortWithinPartitions("split", "cell", "pdu", "window_start").write.mode(
         "overwrite"
     ).partitionBy("split").parquet(path)
 
@@ -70,7 +80,8 @@ def write_flex_trace(
 ) -> dict:
     spark = states.sparkSession
     for name, part in (("task_trace", states), ("flex_windows", windows)):
-        part.write.mode("overwrite").partitionBy("cell", "pdu").parquet(f"{path}/{name}")
+        gathered = _gathered(part, "cell", "pdu")
+        gathered.write.mode("overwrite").partitionBy("cell", "pdu").parquet(f"{path}/{name}")
     metadata = {
         "version": version,
         "rho": rho,

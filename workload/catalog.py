@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridlapse import pipeline
 from gridlapse.functions import buckets, expressions
 from gridlapse.operators import (
     baselines,
@@ -22,6 +23,7 @@ from gridlapse.operators import (
     sequence,
 )
 from gridlapse.plans.blocks import Series
+from gridlapse.plans.stage import stage
 from gridlapse.schema import TASK_STATE_COLUMNS, feature_set
 from workload.adapters import DAY, MONTH, Trace
 
@@ -186,8 +188,8 @@ def fill_numeric(t: Trace) -> DataFrame:
 
 @query
 def residual_target(t: Trace) -> DataFrame:
-    built = features.build_features(t.series)
-    return expressions.residual_target(built, LABEL).select(
+    table = features.build_features(t.series)
+    return expressions.residual_target(table, LABEL).select(
         "cell", "pdu", "window_start", f"{LABEL}_residual"
     )
 
@@ -497,8 +499,13 @@ def build_features(t: Trace) -> DataFrame:
     return features.build_features(t.series)
 
 
+def built(t: Trace) -> DataFrame:
+    """Feature table, computed once for the several jobs that read it."""
+    return stage(features.build_features(t.series), "features")
+
+
 def dataset(t: Trace) -> DataFrame:
-    return features.chronological_split(features.build_features(t.series))
+    return features.chronological_split(built(t))
 
 
 @query
@@ -607,11 +614,11 @@ def fit_standardizer(t: Trace) -> DataFrame:
 
 @query
 def apply_standardizer(t: Trace) -> DataFrame:
-    built = features.build_features(t.series)
+    table = built(t)
     scaler = sequence.load_standardizer(
-        sequence.fit_standardizer(built, SEQUENCE_FEATURES, LABEL, 3)
+        sequence.fit_standardizer(table, SEQUENCE_FEATURES, LABEL, 3)
     )
-    raw = sequence.sequence_windows(built, SEQUENCE_FEATURES, LABEL, 3)
+    raw = sequence.sequence_windows(table, SEQUENCE_FEATURES, LABEL, 3)
     scaled = sequence.apply_standardizer(raw, scaler)
     restored = sequence.invert_targets(scaled, scaler, "target", "restored")
     cells = _columns_of_context(scaled, 3, ("cpu", "power"))
@@ -721,6 +728,17 @@ def stability_table(t: Trace) -> DataFrame:
 # --- fitted learners: rows and sanity only, no SQL form --------------------------------------
 
 
+@query
+def training_dataset(t: Trace) -> DataFrame:
+    """Raw tables to split features in one flow."""
+    data = pipeline.training_dataset(
+        t.power, t.usage, t.machines, width_us=DAY, series=Series(block_us=400 * DAY)
+    )
+    return data.select(
+        "cell", "pdu", "window_start", LABEL, "prev_measured_power_util", "cpu_per_machine", "split"
+    )
+
+
 @query
 def linear_regression(t: Trace) -> DataFrame:
     return predictions(t, ["linear_regression"]).drop("seed", "family")
@@ -741,9 +759,9 @@ def random_forest(t: Trace) -> DataFrame:
 
 def _holdout_parts(t: Trace) -> tuple[DataFrame, DataFrame]:
     """Series of one cell to develop on, series of the other as unseen holdout."""
-    built = features.build_features(t.series)
-    develop = features.chronological_split(built.where(F.col("cell") == "c0"))
-    return develop, built.where(F.col("cell") == "c1")
+    table = built(t)
+    develop = features.chronological_split(table.where(F.col("cell") == "c0"))
+    return develop, table.where(F.col("cell") == "c1")
 
 
 @query

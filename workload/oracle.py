@@ -752,5 +752,23 @@ SQL["stability_table"] = f"""SELECT seed,
 FROM runs GROUP BY seed ORDER BY seed"""
 
 
+# --- raw tables to split features ------------------------------------------------------------
+
+CTES["day_table"] = """
+SELECT p.*, COALESCE(u.total_cpu_usage, 0) AS cpu, COALESCE(u.machine_count, 0) AS machines
+FROM power_1d p LEFT JOIN usage_1d u USING (cell, pdu, window_index)"""
+CTES["day_times"] = """
+SELECT window_start, row_number() OVER (ORDER BY window_start) - 1 AS k, count(*) OVER () AS n
+FROM (SELECT DISTINCT window_start FROM day_table)"""
+SQL["training_dataset"] = f"""SELECT d.cell, d.pdu, d.window_start, {r6('d.measured_power_util')},
+round(COALESCE(lag(d.measured_power_util) OVER (PARTITION BY d.cell, d.pdu ORDER BY d.window_start),
+  0), 6) AS prev_measured_power_util,
+{r6('COALESCE(d.cpu / NULLIF(d.machines, 0), 0)', 'cpu_per_machine')},
+CASE WHEN k < floor(n * CAST(0.70 AS DOUBLE)) THEN 'train'
+     WHEN k < floor(n * (CAST(0.70 AS DOUBLE) + CAST(0.15 AS DOUBLE))) THEN 'val'
+     ELSE 'test' END AS split
+FROM day_table d JOIN day_times t ON d.window_start = t.window_start"""
+
+
 def oracle() -> dict[str, str]:
     return {name: with_ctes(text) for name, text in SQL.items()}
