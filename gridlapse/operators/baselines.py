@@ -134,6 +134,15 @@ def fit_baseline(name: str, train: DataFrame, label: str, seed: int = 42, **opti
     return Baseline(name, features, model=forest.fit(_assemble(train, features)))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Even partitions for tree learners: they are bound by CPU, not by reading.
+
+    Input read from files can come in few or uneven partitions, and each tree level waits for the
+    slowest. One shuffle of the training rows buys many balanced passes.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def predict_all(
     models: Sequence[Baseline],
     df: DataFrame,
@@ -171,7 +180,9 @@ def fit_and_score(
     names = list(models) if models else list(BASELINE_FEATURES)
     needed = list(dict.fromkeys([label, *[f for n in names for f in BASELINE_FEATURES[n]]]))
     data = require_columns(dataset, [*needed, "split"]).select("split", *needed)
-    train = data.where(F.col("split") == "train").persist(StorageLevel.MEMORY_AND_DISK)
+    train = data.where(F.col("split") == "train")
+    train = spread(train) if "random_forest" in names else train
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         fitted = [fit_baseline(name, train, label, seed, **options) for name in names]
     finally:

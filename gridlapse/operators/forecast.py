@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlapse.functions.expressions import residual_target
-from gridlapse.operators.baselines import fit_and_score
+from gridlapse.operators.baselines import fit_and_score, spread
 from gridlapse.operators.evaluate import (
     ensemble_mean,
     member_metric_mean,
@@ -149,6 +149,16 @@ def _learner(spec: SequenceSpec, seed: int):
     return RandomForestRegressor(**common, numTrees=50, maxDepth=8, seed=seed)
 
 
+def _training_windows(train: DataFrame, spec: SequenceSpec, standardizer: Standardizer) -> DataFrame:
+    """Persisted input of a learner, which passes over it several times.
+
+    Blocks that do not fit in memory go to disk.
+    """
+    windows = spec.windows(train, None, standardizer).select("features", "target")
+    windows = windows if spec.learner == "linear" else spread(windows)
+    return windows.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def fit_scaling(train: DataFrame, spec: SequenceSpec) -> Standardizer:
     stats = fit_standardizer(
         spec.prepare(train), spec.features, spec.target, spec.context_length, series=spec.series
@@ -161,9 +171,7 @@ def fit_sequence_regressor(
     train: DataFrame, spec: SequenceSpec = SequenceSpec(), seed: int = 42
 ) -> SequenceRegressor:
     standardizer = fit_scaling(train, spec)
-    windows = spec.windows(train, None, standardizer).select("features", "target")
-    # Learners pass over their input several times; blocks that do not fit in memory go to disk.
-    windows.persist(StorageLevel.MEMORY_AND_DISK)
+    windows = _training_windows(train, spec, standardizer)
     try:
         return SequenceRegressor(spec, standardizer, _learner(spec, seed).fit(windows))
     finally:
@@ -246,17 +254,13 @@ def seed_stability(
     wanted = [seed for seed in seeds if seed not in finished]
     train = dataset.where(F.col("split") == "train").drop("split")
     kept = []
-
-    def keep(df: DataFrame) -> DataFrame:
-        kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-        return df
-
     try:
         if wanted:
             scaling = fit_scaling(train, spec)
-            on_train = keep(spec.windows(train, None, scaling).select("features", "target"))
+            on_train = _training_windows(train, spec, scaling)
             unseen = spec.windows(holdout, None, scaling).withColumn("split", F.lit("holdout"))
-            scored = keep(split_windows(dataset, spec, scaling).unionByName(unseen))
+            scored = split_windows(dataset, spec, scaling).unionByName(unseen)
+            kept = [on_train, scored.persist(StorageLevel.MEMORY_AND_DISK)]
         for seed in wanted:
             model = SequenceRegressor(spec, scaling, _learner(spec, seed).fit(on_train))
             deep = regression_metrics(model.predict_windows(scored, "split"), ["split"])

@@ -753,7 +753,7 @@ def ridge(t: Trace) -> DataFrame:
 def random_forest(t: Trace) -> DataFrame:
     data = dataset(t)
     train = data.where(F.col("split") == "train")
-    model = baselines.fit_baseline("random_forest", train, LABEL, seed=42)
+    model = baselines.fit_baseline("random_forest", baselines.spread(train), LABEL, seed=42)
     return baselines.predict_all([model], data, LABEL, ["cell", "pdu", "window_start", "split"])
 
 
