@@ -16,7 +16,13 @@ from gridlapse.operators.rollup import (
     select_power,
     usage_on_machines,
 )
-from gridlapse.plans.skew import HOT_SHARE, MIN_HOT_ROWS, key_counts, lookup_join
+from gridlapse.plans.skew import (
+    HOT_SHARE,
+    MIN_HOT_ROWS,
+    counted_keys,
+    key_counts,
+    lookup_join,
+)
 from gridlapse.schema import (
     COLLECTION_END_EVENTS,
     EVENT_ENABLE,
@@ -117,7 +123,7 @@ def with_lifecycles(
     """
     counts = key_counts(tasks, TASK_KEYS)
     attributes = lookup_join(
-        counts.select(*TASK_KEYS),
+        counted_keys(counts, TASK_KEYS),
         collection_lifecycle(collection_events),
         [COLLECTION],
         hot_share=hot_share,

@@ -31,6 +31,15 @@ def key_counts(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return facts.groupBy(*keys).agg(F.count(F.lit(1)).alias(_ROWS))
 
 
+def counted_keys(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The distinct keys of ``counts``.
+
+    The filter is always true. It keeps the count from being pruned away, so that this and every
+    other use of ``counts`` is the same shuffle, which Spark then runs once and reuses.
+    """
+    return counts.where(F.col(_ROWS) > 0).select(*keys)
+
+
 def hot_keys(
     counts: DataFrame,
     keys: Sequence[str],
