@@ -14,7 +14,7 @@ FEATURES = ["total_cpu_usage", "avg_cpu_usage"]
 
 
 def windows_by_hand(df, columns, depth):
-    """Reference result from collected rows; for fixtures only."""
+    """Expected windows from collected rows; for fixtures only."""
     rows = df.orderBy("pdu", "window_start").collect()
     out = {}
     for pdu in sorted({r["pdu"] for r in rows}):
