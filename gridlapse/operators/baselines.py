@@ -106,7 +106,7 @@ def _fit_linear(train: DataFrame, features: Sequence[str], label: str, alpha: fl
 
 def fit_baseline(name: str, train: DataFrame, label: str, seed: int = 42, **options) -> Baseline:
     if name not in BASELINE_FEATURES:
-        raise ValueError(f"Unknown baseline model: {name}")
+        raise ValueError(f"No baseline named {name!r}")
     features = BASELINE_FEATURES[name]
     require_columns(train, [*features, label], f"columns of {name}")
     if name == "persistence":

@@ -182,7 +182,7 @@ def ensemble_mean(
     """Mean prediction over members per row key; fails while running if their truths differ."""
     spread = F.max("y") - F.min("y")
     agree = spread <= F.lit(atol) + F.lit(rtol) * F.abs(F.max("y"))
-    mismatch = F.raise_error(F.lit("Ensemble members do not share the same target values"))
+    mismatch = F.raise_error(F.lit("Ensemble members disagree on the true value of a row"))
     return predictions.groupBy(*key).agg(
         F.max("y").alias("y"),
         F.when(agree, F.avg("prediction")).otherwise(mismatch.cast("double")).alias("prediction"),

@@ -56,7 +56,7 @@ class SplitRatios:
     def __post_init__(self) -> None:
         total = self.train + self.val + self.test
         if abs(total - 1.0) > 1e-9:
-            raise ValueError(f"Split ratios must sum to 1.0, got {total}")
+            raise ValueError(f"The three split ratios add up to {total}, not to 1")
 
 
 @dataclass(frozen=True)
@@ -121,11 +121,11 @@ def fit_split(
     """Find the two cut times: one job over the time column, one row comes back."""
     found = split_bounds(df, ratios, time).first()
     if found["times"] < 3:
-        raise ValueError("Need at least 3 distinct windows to build train/val/test splits")
+        raise ValueError(f"{found['times']} distinct times cannot fill three parts, it takes 3 or more")
     if found["val_start_us"] is None or found["test_start_us"] is None:
         raise ValueError(
-            "Time leakage detected: expected train_end < val_start <= test_start, "
-            f"but {found['times']} distinct windows leave a part empty"
+            f"{found['times']} distinct times leave a part empty: "
+            "the parts would not follow each other in time"
         )
     return SplitBounds(found["times"], found["val_start_us"], found["test_start_us"])
 

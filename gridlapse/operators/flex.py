@@ -265,6 +265,6 @@ def join_flex_features(dataset: DataFrame, flex: DataFrame, *, check: bool = Tru
         for name in added:
             present = present | F.col(name).isNotNull()
         joined = joined.where(
-            _raise_unless(present, "Missing flexibility features for a dataset row")
+            _raise_unless(present, "A dataset row has no flexibility window")
         )
     return joined

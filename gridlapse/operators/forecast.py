@@ -64,11 +64,11 @@ class SequenceSpec:
 
     def __post_init__(self) -> None:
         if self.target_mode not in ("absolute", "residual"):
-            raise ValueError(f"Unknown target mode: {self.target_mode}")
+            raise ValueError(f"No target mode named {self.target_mode!r}")
         if self.target_scaling not in ("standard", "none"):
-            raise ValueError(f"Unknown target scaling: {self.target_scaling}")
+            raise ValueError(f"No target scaling named {self.target_scaling!r}")
         if self.learner not in LOADERS:
-            raise ValueError(f"Unknown learner: {self.learner}")
+            raise ValueError(f"No learner named {self.learner!r}")
 
     @property
     def residual(self) -> bool:

@@ -42,7 +42,7 @@ def sequence_windows(
     window was taken.
     """
     if context_length < 1:
-        raise ValueError("context_length must be >= 1")
+        raise ValueError("A context takes at least one row")
     required = [*series.keys, series.order, label, *features, *carry_columns]
     require_columns(df, required, "sequence columns")
     if IS_TARGET not in df.columns:
@@ -71,7 +71,7 @@ def sequence_targets(
     Only the row's position matters, so no context is collected.
     """
     if context_length < 1:
-        raise ValueError("context_length must be >= 1")
+        raise ValueError("A context takes at least one row")
     if IS_TARGET not in df.columns:
         df = with_history(df)
     placed = with_position(df.select(*series.keys, series.order, column, IS_TARGET), series)
@@ -226,7 +226,7 @@ def load_standardizer(stats: DataFrame) -> Standardizer:
     """Fetch the fitted numbers: one row per feature and one for the target."""
     rows = sorted(stats.collect(), key=lambda r: r["ordinal"])
     if not rows:
-        raise ValueError("No sequence samples: check the split size and context_length")
+        raise ValueError("No series is longer than the context, so there is nothing to fit")
     features = [r for r in rows if r["role"] == "feature"]
     target = next(r for r in rows if r["role"] == "target")
     return Standardizer(

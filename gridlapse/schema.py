@@ -331,11 +331,11 @@ def require_columns(df: DataFrame, required: Iterable[str], what: str = "columns
     present = set(df.columns)
     missing = [name for name in required if name not in present]
     if missing:
-        raise ValueError(f"Missing required {what}: {missing}")
+        raise ValueError(f"The frame lacks {what}: {missing}")
     return df
 
 
 def feature_set(name: str = "enhanced") -> list[str]:
     if name not in FEATURE_SETS:
-        raise ValueError(f"Unknown feature set {name!r}, expected one of {sorted(FEATURE_SETS)}")
+        raise ValueError(f"No feature set named {name!r}; there are {sorted(FEATURE_SETS)}")
     return list(FEATURE_SETS[name])

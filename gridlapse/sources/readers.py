@@ -33,7 +33,7 @@ def read_frame(spark: SparkSession, path: str, schema: T.StructType | None = Non
         return reader.parquet(path)
     if suffix == ".csv":
         return reader.csv(path, header=True, inferSchema=schema is None)
-    raise ValueError(f"Unsupported input format: {suffix!r}")
+    raise ValueError(f"Cannot read {suffix!r} files, only .parquet and .csv")
 
 
 def parse_utc(text: Column) -> Column:

@@ -770,5 +770,51 @@ CASE WHEN k < floor(n * CAST(0.70 AS DOUBLE)) THEN 'train'
 FROM day_table d JOIN day_times t ON d.window_start = t.window_start"""
 
 
+# --- readers and writers ---------------------------------------------------------------------
+
+SQL["read_frame"] = f"""SELECT window_start, cell, pdu, {r6s(*_POWER)}, {', '.join(_COUNTS)},
+{r6s(*_CPUS)} FROM series_us"""
+SQL["read_csv_with_preamble"] = f"""SELECT window_start, window_index, cell, pdu, task_count,
+{r6('flex_cpu_ratio')} FROM flex_trace"""
+SQL["read_power_trace"] = f"""SELECT time, {r6s(*_POWER)}, bad_measurement_data,
+bad_production_power_data, cell, pdu FROM power WHERE cell IN ('ASIA', 'AMERICA')
+AND pdu IN ('NATION_2', 'NATION_6', 'NATION_12', 'NATION_16')"""
+SQL["read_usage"] = f"""SELECT cell, machine_id, start_time, {r6('avg_cpus')} FROM placed
+WHERE cell IN ('ASIA', 'EUROPE')"""
+SQL["read_collection_events"] = """SELECT collection_id, time, type, priority,
+dependency_ids AS deps FROM collection_events"""
+SQL["read_instance_events"] = """SELECT time, collection_id, instance_index, machine_id,
+alloc_collection_id, type, scheduling_class, priority FROM instance_events"""
+SQL["read_machine_map"] = "SELECT machine_id, pdu, cell FROM machine_map"
+SQL["named_feature_set"] = f"""SELECT cell, pdu, window_start, {', '.join(_COUNTS)}, {r6s(*_CPUS)},
+is_weekend, {r6('sin(2 * pi() * minute_of_day / 1440)', 'hour_sin')},
+{r6('cos(2 * pi() * minute_of_day / 1440)', 'hour_cos')},
+{r6('sin(2 * pi() * day_of_week / 7)', 'day_of_week_sin')},
+{r6('cos(2 * pi() * day_of_week / 7)', 'day_of_week_cos')}, {r6s(*_LAGS)}, {_RATIOS}
+FROM features"""
+SQL["write_dataset"] = f"""SELECT cell, pdu, window_start, {r6('measured_power_util')},
+{r6('prev_measured_power_util')}, split FROM features JOIN parts USING (window_start)"""
+SQL["write_dataset_metadata"] = """SELECT 'v1' AS version, 'measured_power_util' AS label,
+'chronological' AS split_mode, count(*) AS row_count,
+count(*) FILTER (split = 'train') AS train_rows, count(*) FILTER (split = 'val') AS val_rows,
+count(*) FILTER (split = 'test') AS test_rows, CAST(25 AS BIGINT) AS column_count
+FROM series_us JOIN parts USING (window_start)"""
+SQL["write_flex_trace"] = """SELECT 'flex_v1' AS version, CAST(1.5 AS DOUBLE) AS rho,
+CAST(1 AS BIGINT) AS max_flex_scheduling_class, (SELECT count(*) FROM trace_us) AS task_rows,
+(SELECT count(*) FROM flex_trace) AS window_rows"""
+SQL["write_flex_dataset"] = """SELECT count(*) AS row_count,
+(SELECT count(*) FROM (SELECT DISTINCT cell, pdu FROM flex_trace)) AS pdu_count,
+min(window_index) AS window_index_min, max(window_index) AS window_index_max FROM flex_trace"""
+SQL["write_joined_dataset"] = """SELECT s.cell, s.pdu, s.window_start, p.split, f.task_count,
+f.machine_count AS flex_window_machine_count FROM series_us s
+JOIN parts p ON s.window_start = p.window_start
+LEFT JOIN flex_trace f ON s.window_start = f.window_start AND s.cell = f.cell AND s.pdu = f.pdu"""
+SQL["write_benchmark"] = f"""SELECT model,
+{', '.join(r6(f"max({m}) FILTER (split = '{s}')", f'{s}_{m}') for s, m in (
+ ('val', 'mae'), ('val', 'rmse'), ('test', 'mae'), ('test', 'rmse'), ('test', 'r2')))}
+FROM by_split GROUP BY model"""
+SQL["ranked_times"] = "SELECT window_start AS time_us, k AS time_rank FROM times"
+
+
 def oracle() -> dict[str, str]:
     return {name: with_ctes(text) for name, text in SQL.items()}
