@@ -143,7 +143,7 @@ class SequenceRegressor:
 def _learner(spec: SequenceSpec, seed: int):
     common = {"featuresCol": "features", "labelCol": "target"}
     if spec.learner == "linear":
-        return LinearRegression(**common, solver="normal", regParam=1e-6, elasticNetParam=0.0)
+        return LinearRegression(**common, solver="auto", regParam=1e-6, elasticNetParam=0.0)
     if spec.learner == "gbt":
         return GBTRegressor(**common, maxIter=20, maxDepth=4, seed=seed)
     return RandomForestRegressor(**common, numTrees=50, maxDepth=8, seed=seed)

@@ -79,24 +79,39 @@ def _join_side(df: DataFrame, side: DataFrame, series: Series, first_rows: int |
     return df.join(renamed, condition, "left").select(*df.columns, *added)
 
 
-def with_carry(df: DataFrame, series: Series, columns: Sequence[str], depth: int) -> DataFrame:
-    """Add ``_block``, ``_block_row`` and ``_carry`` (array of structs, oldest row first).
+def _last_row(df: DataFrame, series: Series, columns: Sequence[str]) -> DataFrame:
+    """Latest row of each block by a hash aggregate, combined map-side without sorting."""
+    newest = [F.max_by(c, series.order).alias(c) for c in columns if c != series.order]
+    return (
+        df.withColumn(BLOCK, series.block_of())
+        .groupBy(*series.block_keys())
+        .agg(F.max(series.order).alias(series.order), *newest)
+    )
 
-    Only the first ``depth`` rows of a block get a carry; later rows have enough rows before them
-    inside the block. The carry is found among the last ``depth`` rows of each block: Spark cuts
-    the blocks to those before they are shuffled, so what is ordered per series is small.
-    """
-    blocked = df.withColumn(BLOCK, series.block_of())
+
+def _last_rows(df: DataFrame, series: Series, columns: Sequence[str], depth: int) -> DataFrame:
+    """Latest ``depth`` rows of each block; Spark cuts the blocks to them before the shuffle."""
     newest_first = Window.partitionBy(*series.block_keys()).orderBy(
         F.col(series.order).desc_nulls_first()
     )
     wanted = list(dict.fromkeys([*series.keys, BLOCK, series.order, *columns]))
-    tails = (
-        blocked.select(*wanted)
+    return (
+        df.withColumn(BLOCK, series.block_of())
+        .select(*wanted)
         .withColumn("_from_end", F.row_number().over(newest_first))
         .where(F.col("_from_end") <= depth)
         .drop("_from_end")
     )
+
+
+def with_carry(df: DataFrame, series: Series, columns: Sequence[str], depth: int) -> DataFrame:
+    """Add ``_block``, ``_block_row`` and ``_carry`` (array of structs, oldest row first).
+
+    Only the first ``depth`` rows of a block get a carry; later rows have enough rows before them
+    inside the block. The carry is found among the last ``depth`` rows of each block, so what is
+    ordered per series is small.
+    """
+    tails = _last_row(df, series, columns) if depth == 1 else _last_rows(df, series, columns, depth)
     along = series.along()
     earlier = F.collect_list(F.struct(*[F.col(c) for c in columns]))
     carry = (

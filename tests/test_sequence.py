@@ -125,3 +125,9 @@ def test_split_windows_lose_no_rows_at_the_borders(spark):
     assert sequence.sequence_windows(train, FEATURES, LABEL, 12).count() == 350 - 5 * 12
     both = sequence.with_history(val, train)
     assert sequence.sequence_windows(both, FEATURES, LABEL, 12).count() == 75
+
+
+def test_blocks_are_cut_before_the_shuffle(spark):
+    windows = sequence.sequence_windows(frames.wavy(spark, 3, 50), FEATURES, LABEL, 12)
+    plan = windows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
