@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridlapse.schema import WINDOW_US
 
@@ -43,3 +44,20 @@ def in_window_range(
         keep = keep & (time_us < F.lit((high + 2) * width_us))
         keep = keep & (window_index(time_us, width_us) <= F.lit(high))
     return keep
+
+
+def parse_utc(text: Column) -> Column:
+    """Timestamp from text; without a zone it is read as UTC. What does not parse is NULL."""
+    trimmed = F.regexp_replace(F.trim(text), r"\s*UTC$", "Z")
+    zoned = F.when(trimmed.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), trimmed).otherwise(
+        F.concat(trimmed, F.lit("Z"))
+    )
+    return zoned.try_cast("timestamp")
+
+
+def with_utc_time(df: DataFrame, column: str = "window_start") -> DataFrame:
+    """Make ``column`` a timestamp: text and zoneless times are UTC, whatever the session zone."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.StringType, T.TimestampNTZType)):
+        return df.withColumn(column, parse_utc(F.col(column).cast("string")))
+    return df

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlapse.functions.buckets import micros
+from gridlapse.functions.buckets import micros, with_utc_time
 from gridlapse.functions.expressions import calendar_features, fill_numeric, ratio_features
 from gridlapse.plans.blocks import Series, drop_helpers, lag_over_blocks, with_carry
 from gridlapse.schema import FEATURE_TABLE_COLUMNS, TRAINING_COLUMNS, require_columns
@@ -41,7 +41,7 @@ def build_features(
     df: DataFrame, label: str = "measured_power_util", series: Series = Series()
 ) -> DataFrame:
     """The 25-column feature table."""
-    require_columns(df, TRAINING_COLUMNS)
+    df = with_utc_time(require_columns(df, TRAINING_COLUMNS))
     extra = [name for name in df.columns if name not in FEATURE_TABLE_COLUMNS]
     lagged = lag_features(calendar_features(df), label, series)
     return fill_numeric(ratio_features(lagged)).select(*FEATURE_TABLE_COLUMNS, *extra)

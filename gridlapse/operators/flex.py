@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlapse.functions.buckets import with_utc_time
 from gridlapse.functions.expressions import (
     classify_tasks,
     coerce_numeric,
@@ -48,7 +49,7 @@ def build_task_states(
         for name in TASK_TRACE_REQUIRED
         if name not in untyped and name in trace.columns
     }
-    typed = coerce_numeric(trace, numeric)
+    typed = coerce_numeric(with_utc_time(trace), numeric)
     timed = task_timing(effective_fields(typed), rho, min_runtime_us, default_time)
     return classify_tasks(timed, max_class, require_batch_scheduler)
 
@@ -253,6 +254,7 @@ def join_flex_features(dataset: DataFrame, flex: DataFrame, *, check: bool = Tru
     The checks are part of the plan: they raise while the join runs and cost no second job.
     """
     keys = list(FLEX_JOIN_KEYS)
+    dataset, flex = with_utc_time(dataset), with_utc_time(flex)
     names = [c for c in flex.columns if c not in keys]
     added = added_flex_columns(dataset.columns, flex.columns)
     left = dataset

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridlapse.functions.buckets import parse_utc
 from gridlapse.operators.rollup import select_power
 from gridlapse.schema import (
     COLLECTION_EVENTS_SCHEMA,
@@ -36,15 +37,6 @@ def read_frame(spark: SparkSession, path: str, schema: T.StructType | None = Non
     raise ValueError(f"Cannot read {suffix!r} files, only .parquet and .csv")
 
 
-def parse_utc(text: Column) -> Column:
-    """Timestamp from text; without a zone it is read as UTC. What does not parse is NULL."""
-    trimmed = F.regexp_replace(F.trim(text), r"\s*UTC$", "Z")
-    zoned = F.when(trimmed.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), trimmed).otherwise(
-        F.concat(trimmed, F.lit("Z"))
-    )
-    return zoned.try_cast("timestamp")
-
-
 def _parsed_lines(
     spark: SparkSession, path: str, header_prefix: str
 ) -> tuple[DataFrame, list[str]] | None:

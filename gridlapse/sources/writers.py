@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlapse.functions.buckets import with_utc_time
 from gridlapse.operators.evaluate import leaderboard
 from gridlapse.operators.flex import added_flex_columns, join_flex_features
 from gridlapse.schema import FLEX_WINDOW_COLUMNS, require_columns
@@ -96,7 +97,7 @@ def write_flex_trace(
 
 def write_flex_dataset(windows: DataFrame, path: str, version: str = "flex_windows_v1") -> dict:
     """Packaged flex windows, sorted by (window_start, cell, pdu) inside each file."""
-    require_columns(windows, FLEX_WINDOW_COLUMNS)
+    windows = with_utc_time(require_columns(windows, FLEX_WINDOW_COLUMNS))
     target = f"{path}/flex_windows"
     windows.sortWithinPartitions("window_start", "cell", "pdu").write.mode("overwrite").parquet(target)
     stored = windows.sparkSession.read.parquet(target)

@@ -197,3 +197,13 @@ def test_join_refuses_repeated_keys_and_missing_rows(spark):
         flex.join_flex_features(data, windows.where("window_index < 2")).collect()
     unchecked = flex.join_flex_features(data, windows.where("window_index < 2"), check=False)
     assert unchecked.where("task_count IS NULL").count() == 1
+
+
+def test_untyped_trace_gives_the_same_windows(spark):
+    trace = frames.task_trace(spark, [{"window_index": i, "window_start": at(i * W)} for i in range(3)])
+    text = trace.select([F.col(c).cast("string").alias(c) for c in trace.columns]).withColumn(
+        "window_index", F.col("window_index").cast("long")
+    )
+    typed, untyped = (flex.flex_windows(flex.build_task_states(t)) for t in (trace, text))
+    assert untyped.dtypes == typed.dtypes
+    assert untyped.exceptAll(typed).count() == 0 and untyped.count() == 3
