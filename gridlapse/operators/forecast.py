@@ -145,7 +145,7 @@ def _learner(spec: SequenceSpec, seed: int):
     if spec.learner == "linear":
         return LinearRegression(**common, solver="auto", regParam=1e-6, elasticNetParam=0.0)
     if spec.learner == "gbt":
-        return GBTRegressor(**common, maxIter=20, maxDepth=4, seed=seed)
+        return GBTRegressor(**common, maxIter=20, maxDepth=4, subsamplingRate=0.8, seed=seed)
     return RandomForestRegressor(**common, numTrees=50, maxDepth=8, seed=seed)
 
 

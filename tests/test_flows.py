@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gridlapse import pipeline
+from gridlapse import flows
 from gridlapse.operators import features, rollup
 from gridlapse.plans.stage import CHECKPOINT_CONF, stage, stage_directory
 from tests import frames
@@ -19,7 +19,7 @@ def raw_tables(spark, windows=20):
 
 def test_flow_equals_its_steps(spark):
     tables = raw_tables(spark)
-    flow = pipeline.training_dataset(*tables, cell="f", pdus=["pdu1"], low=2, high=15)
+    flow = flows.training_dataset(*tables, cell="f", pdus=["pdu1"], low=2, high=15)
     table = rollup.pdu_training_table(*tables, cell="f", pdus=["pdu1"], low=2, high=15)
     steps = features.chronological_split(features.build_features(table))
     assert flow.columns == steps.columns and flow.count() == 14
@@ -33,7 +33,7 @@ def test_flow_with_flex_features(spark):
         [{"collection_id": c, "type": 0, "time": 0, "scheduling_class": c, "scheduler": 1} for c in range(4)],
     )
     instances = frames.instance_events(spark, [])
-    joined = pipeline.flex_training_dataset(*tables, collections, instances)
+    joined = flows.flex_training_dataset(*tables, collections, instances)
     assert joined.count() == 20
     row = joined.where(F.col("window_index") == 5).first()
     assert row["task_count"] == 1 and row["flex_window_machine_count"] == 1

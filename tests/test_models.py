@@ -186,6 +186,22 @@ def test_sequence_regressor_data_path(spark, tmp_path, mode):
     assert first == second and first["sample_count"] == 2 * 34
 
 
+@pytest.mark.parametrize("learner", ["gbt", "forest"])
+def test_tree_learners_depend_on_the_seed_only(spark, tmp_path, learner):
+    data = dataset(spark, 2, 60)
+    train = data.where("split = 'train'").drop("split")
+    spec = forecast.SequenceSpec(features=SPEC.features, context_length=4, learner=learner)
+    unseen = features.build_features(frames.wavy(spark, 1, 30))
+    one, same, other = (
+        forecast.fit_sequence_regressor(train, spec, seed) for seed in (1, 1, 2)
+    )
+    scores = [forecast.score_holdout(m, unseen).first() for m in (one, same, other)]
+    assert scores[0] == scores[1] != scores[2]
+    path = str(tmp_path / "model")
+    one.save(path)
+    assert forecast.score_holdout(forecast.SequenceRegressor.load(spark, path), unseen).first() == scores[0]
+
+
 def test_sequence_spec_refuses_unknown_settings():
     for bad in ({"target_mode": "x"}, {"target_scaling": "x"}, {"learner": "x"}):
         with pytest.raises(ValueError, match="named"):

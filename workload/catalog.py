@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridlapse import pipeline
+from gridlapse import flows
 from gridlapse.functions import buckets, expressions
 from gridlapse.operators import (
     baselines,
@@ -731,7 +731,7 @@ def stability_table(t: Trace) -> DataFrame:
 @query
 def training_dataset(t: Trace) -> DataFrame:
     """Raw tables to split features in one flow."""
-    data = pipeline.training_dataset(
+    data = flows.training_dataset(
         t.power, t.usage, t.machines, width_us=DAY, series=Series(block_us=400 * DAY)
     )
     return data.select(
