@@ -15,6 +15,7 @@ M = "2592000000000"
 W = "300000000"
 
 CTES: dict[str, str] = {name: duckdb_text(name) for name in VIEWS}
+KEPT: set[str] = set()
 SQL: dict[str, str] = {}
 
 def bucket(time: str, width: str) -> str:
@@ -43,7 +44,9 @@ def with_ctes(text: str) -> str:
     visit(text)
     if not ordered:
         return text
-    body = ",\n".join(f"{name} AS ({CTES[name]})" for name in ordered)
+    body = ",\n".join(
+        f"{name} AS {'MATERIALIZED ' if name in KEPT else ''}({CTES[name]})" for name in ordered
+    )
     return f"WITH {body}\n{text}"
 
 
@@ -770,6 +773,46 @@ CASE WHEN k < floor(n * CAST(0.70 AS DOUBLE)) THEN 'train'
 FROM day_table d JOIN day_times t ON d.window_start = t.window_start"""
 
 
+# --- linear models by successive orthogonalization -------------------------------------------
+# Centre all columns on the train rows, then subtract from the label and from the later features
+# their projection on each feature in turn. What is left of the label is the residual of the least
+# squares fit. Ridge is the same fit with one extra row per feature: that feature 1, the rest 0.
+
+
+def _least_squares(prefix: str, ridge: bool) -> str:
+    centred = ", ".join(f"f.{c} - m.m{i} AS x{i}" for i, c in enumerate(_LEGACY))
+    means = ", ".join(f"avg({c}) AS m{i}" for i, c in enumerate(_LEGACY))
+    CTES[f"{prefix}_mean"] = f"SELECT avg(measured_power_util) AS my, {means} FROM train_rows"
+    rows = f"""
+SELECT f.cell, f.pdu, f.window_start, p.split, f.measured_power_util AS y,
+       p.split = 'train' AS fitted, f.measured_power_util - m.my AS r, {centred}
+FROM features f JOIN parts p ON f.window_start = p.window_start CROSS JOIN {prefix}_mean m"""
+    if ridge:
+        for i in range(len(_LEGACY)):
+            unit = ", ".join("1.0" if k == i else "0.0" for k in range(len(_LEGACY)))
+            rows += f"""
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, TRUE, 0.0, {unit}"""
+    CTES[f"{prefix}_0"] = rows
+    for j in range(len(_LEGACY)):
+        later = [f"x{k}" for k in range(j + 1, len(_LEGACY))] + ["r"]
+        slopes = ", ".join(
+            f"CASE WHEN sum(x{j} * x{j}) > 1e-12 THEN sum(x{j} * {c}) / sum(x{j} * x{j}) ELSE 0 END"
+            f" AS b_{c}"
+            for c in later
+        )
+        CTES[f"{prefix}_slope_{j}"] = f"SELECT {slopes} FROM {prefix}_{j} WHERE fitted"
+        reduced = ", ".join(f"{c} - b_{c} * x{j} AS {c}" for c in later)
+        CTES[f"{prefix}_{j + 1}"] = f"""
+SELECT cell, pdu, window_start, split, y, fitted, {reduced}
+FROM {prefix}_{j} CROSS JOIN {prefix}_slope_{j}"""
+        KEPT.add(f"{prefix}_{j}")
+    return f"""SELECT cell, pdu, window_start, split, {r6('y')}, round(y - r, 4) AS prediction,
+'{prefix}' AS model FROM {prefix}_{len(_LEGACY)} WHERE cell IS NOT NULL"""
+
+
+SQL["linear_regression"] = _least_squares("linear_regression", False)
+SQL["ridge"] = _least_squares("ridge", True)
+
 # --- readers and writers ---------------------------------------------------------------------
 
 SQL["read_frame"] = f"""SELECT window_start, cell, pdu, {r6s(*_POWER)}, {', '.join(_COUNTS)},
