@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlapse.llm import warc
+from gridlapse.llm import simhash, warc
 from gridlapse.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,3 +35,9 @@ SELECT h.page_id, h.payload_bytes, h.payload_digest,
        CASE WHEN f.first_id <> h.page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN f.first_id <> h.page_id THEN f.first_id END AS refers_to
 FROM h LEFT JOIN f ON h.payload_digest = f.payload_digest AND h.payload_bytes >= 100"""
+
+
+@query
+def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
