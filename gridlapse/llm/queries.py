@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlapse.llm import simhash, warc
+from gridlapse.llm import mixing, simhash, warc
 from gridlapse.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,3 +41,31 @@ FROM h LEFT JOIN f ON h.payload_digest = f.payload_digest AND h.payload_bytes >=
 def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: Targets and the cut of the mix, from a table ``docs`` with doc_id, text, source.
+MIX_CTES = r"""
+sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), '-'), coalesce(source, '-'), md5(coalesce(text, '')))) AS row_key FROM docs),
+keyed AS (SELECT *, CAST('0x' || substr(md5('0|' || row_key), 1, 13) AS BIGINT) AS key FROM sized),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM keyed GROUP BY source),
+weighted AS (SELECT *, (CAST([5.0, 2.0, 1.0] AS DOUBLE[]))[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight,
+  source_size * CAST(3.0 AS DOUBLE) AS bound FROM sources),
+levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(bound) OVER w, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0)) AS level
+  FROM weighted WINDOW w AS (ORDER BY bound / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+goals AS (SELECT source, source_size, CASE WHEN max(CAST(bound / weight > level AS INTEGER)) OVER () = 0 THEN bound
+  ELSE least(bound, max(level) OVER () * weight) END AS target FROM levels),
+started AS (SELECT k.*, g.source_size, g.target, CAST(floor(g.target) AS BIGINT) AS budget,
+  coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY key, row_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM keyed k JOIN goals g ON k.source IS NOT DISTINCT FROM g.source),
+mixed AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs,
+  CASE WHEN source_size > 0 THEN least(size, greatest(0, budget % source_size - start)) ELSE 0 END AS extra FROM started)"""
+
+SQL["op7_mix_sources"] = f"""WITH docs AS (SELECT * FROM documents),{MIX_CTES}
+SELECT doc_id, size, source_size, target, CAST(epochs * size + extra AS BIGINT) AS taken FROM mixed"""
