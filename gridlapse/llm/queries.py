@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlapse.llm import mixing, simhash, warc
+from gridlapse.llm import mixing, records, simhash, warc
 from gridlapse.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,3 +69,15 @@ mixed AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0
 
 SQL["op7_mix_sources"] = f"""WITH docs AS (SELECT * FROM documents),{MIX_CTES}
 SELECT doc_id, size, source_size, target, CAST(epochs * size + extra AS BIGINT) AS taken FROM mixed"""
+
+
+#: The tokenizer of the token-id query and its end id.
+TOKENIZER, END_ID = "word_bpe_49k.json", 2
+
+
+@query
+def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return records.read_records(records.write_records(docs, public_tokenizers.path(TOKENIZER), end_id=END_ID))
