@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlapse.llm import mixing, records, simhash, warc
+from gridlapse.llm import digest, mixing, records, simhash, warc
 from gridlapse.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,3 +81,8 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return records.read_records(records.write_records(docs, public_tokenizers.path(TOKENIZER), end_id=END_ID))
+
+
+@query
+def op6_quartile_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.compare_edited(table(spark, sf_dir, "documents"))
