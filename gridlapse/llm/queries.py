@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlapse.llm import digest, mixing, records, simhash, warc
+from gridlapse.llm import digest, keyscan, mixing, records, simhash, warc
 from gridlapse.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,3 +86,14 @@ def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_quartile_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.compare_edited(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = keyscan.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in keyscan.KINDS],
+        F.sha2(keyscan.listed(*keyscan.KINDS).cast("binary"), 256).alias("base_sha256"),
+        keyscan.listed(*keyscan.KINDS, keyscan.METHOD).alias("spans"),
+    )
