@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlapse.llm import digest, keyscan, mixing, records, simhash, warc
+from gridlapse.llm import decontaminate, digest, keyscan, mixing, records, simhash, warc
 from gridlapse.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +97,26 @@ def op8_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(keyscan.listed(*keyscan.KINDS).cast("binary"), 256).alias("base_sha256"),
         keyscan.listed(*keyscan.KINDS, keyscan.METHOD).alias("spans"),
     )
+
+
+@query
+def op9_benchmark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Items held by the texts of a table ``docs``.
+ITEM_CTES = r"""
+doc_words AS (SELECT md5(coalesce(text, '')) AS text_key, any_value(regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+  FROM docs GROUP BY 1),
+doc_places AS (SELECT text_key, w, unnest(generate_series(1, len(w) - 4)) AS i FROM doc_words WHERE len(w) >= 5),
+doc_shingles AS (SELECT DISTINCT text_key, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS s FROM doc_places),
+item_words AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+item_places AS (SELECT item_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM item_words WHERE len(w) >= 5),
+item_shingles AS (SELECT DISTINCT item_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS s FROM item_places),
+item_sizes AS (SELECT item_id, count(*) AS item_shingles FROM item_shingles GROUP BY 1),
+held AS (SELECT text_key, item_id, count(*) AS shared FROM doc_shingles JOIN item_shingles USING (s) GROUP BY 1, 2),
+contaminated AS (SELECT * FROM held JOIN item_sizes USING (item_id) WHERE shared >= ceil(round(item_shingles * 0.8, 6)))"""
+
+SQL["op9_benchmark_items"] = f"""WITH docs AS (SELECT * FROM documents),{ITEM_CTES}
+SELECT DISTINCT doc_id, item_id, shared, item_shingles, shared / item_shingles AS containment
+FROM contaminated JOIN documents ON md5(coalesce(text, '')) = text_key"""
