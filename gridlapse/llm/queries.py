@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlapse.llm import decontaminate, digest, keyscan, mixing, records, simhash, warc
+from gridlapse.llm import decontaminate, digest, keyscan, licenses, mixing, records, simhash, warc
 from gridlapse.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,3 +120,8 @@ contaminated AS (SELECT * FROM held JOIN item_sizes USING (item_id) WHERE shared
 SQL["op9_benchmark_items"] = f"""WITH docs AS (SELECT * FROM documents),{ITEM_CTES}
 SELECT DISTINCT doc_id, item_id, shared, item_shingles, shared / item_shingles AS containment
 FROM contaminated JOIN documents ON md5(coalesce(text, '')) = text_key"""
+
+
+@query
+def op10_license_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
