@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlapse.llm import decontaminate, digest, keyscan, licenses, mixing, records, simhash, warc
+from gridlapse.llm import crf, decontaminate, digest, keyscan, licenses, mixing, records, simhash, warc
 from gridlapse.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,3 +125,9 @@ FROM contaminated JOIN documents ON md5(coalesce(text, '')) = text_key"""
 @query
 def op10_license_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return crf.score(docs, crf.train(docs, table(spark, sf_dir, "labels")))
