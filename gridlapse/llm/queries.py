@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlapse.llm import crf, decontaminate, digest, keyscan, licenses, mixing, records, simhash, warc
+from gridlapse.llm import crf, decontaminate, digest, keyscan, licenses, mixing, records, simhash, substrings, warc
 from gridlapse.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,3 +131,16 @@ def op10_license_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return crf.score(docs, crf.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op4_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, span: total + span["end"] - span["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
