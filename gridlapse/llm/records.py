@@ -20,6 +20,8 @@ that repeat an id are ordered by text; further columns are not written.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -39,8 +41,8 @@ CHECK = struct.Struct("<I")
 HEAD = struct.Struct("<?q")
 ENTRY = np.dtype([("offset", "<u8"), ("length", "<u8"), ("doc_id", "<i8"), ("null_id", "u1"), ("n_ids", "<u4")])
 MASK = 0xA282EAD8
-#: Different words whose ids a task remembers.
-REMEMBERED = 200_000
+#: Different pieces whose ids a task remembers.
+REMEMBERED = 300_000
 MANIFEST = "part int, path string, records long, ids long, bytes long"
 
 
@@ -70,53 +72,109 @@ def payload_of(document: int | None, ids: np.ndarray) -> bytes:
     return HEAD.pack(document is None, document or 0) + ids.tobytes()
 
 
+# How the public word tokenizer normalizes and splits, and the part of it that PIECE restates.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Texts of printable ASCII, Latin-1 letters and common white space: normalizing them is lower-casing, and PIECE splits like SPLIT.
+PLAIN = re.compile(r"[\x20-\x7E\t\n\r\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*")
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[!-/:-@\[-`{-~]+")
+MARK = "<|"  # may begin a special token, which is looked for before anything else
+
+
+def _byte_characters() -> list[str]:
+    """The visible character that a byte-level tokenizer has for each byte: itself, or one from 256 on."""
+    seen = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or 174 <= c]
+    others = [c for c in range(256) if c not in seen]
+    return [chr(c) if c in seen else chr(256 + others.index(c)) for c in range(256)]
+
+
+BYTES = str.maketrans(dict(enumerate(_byte_characters())))
+
+
 class WordEncoder:
-    """Encodes texts word by word and remembers the ids of frequent words.
+    """Encodes texts piece by piece and remembers the ids of pieces that come again.
 
     For tokenizers that drop white space and never join what stands on both sides of it: the ids of a
-    text are then those of its pieces between spaces, tabs and line ends.
+    text are then those of its pieces between spaces, tabs and line ends. With the public word tokenizer,
+    plain texts are split here, and only the pieces not seen yet go through the tokenizer's model; all
+    other texts, and all texts of other tokenizers, are cut at white space, and what is new takes the
+    tokenizer's whole way. When the memory is full, pieces that only one text had are forgotten.
     """
 
-    SPACES = str.maketrans("\t\n\r", "   ")
-
     def __init__(self, tokenizer, remembered: int = REMEMBERED):
         self.tokenizer, self.remembered = tokenizer, remembered
-        self.clear()
-
-    def clear(self) -> None:
+        parts = json.loads(tokenizer.to_str())
+        splitter = (parts["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.known = (
+            parts["normalizer"] == NORMALIZER
+            and [p.get("type") for p in splitter] == ["Split", "ByteLevel"]
+            and splitter[0]["pattern"] == {"Regex": SPLIT}
+            and not splitter[1]["add_prefix_space"]
+            and not splitter[1]["use_regex"]
+            and all(t["content"].startswith(MARK) for t in parts["added_tokens"])
+        )
+        self.model = tokenizer.model
         self.number: dict[str, int] = {}
+        self.again = np.zeros(remembered, dtype=bool)
         self.flat = np.empty(1 << 16, dtype=np.uint32)
-        self.start = np.zeros(self.remembered + 1, dtype=np.int64)  # of each word; the next word's start is its end
-
-    def learn(self, words: list[str]) -> None:
-        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            n, ids = len(self.number), found.ids
-            at = int(self.start[n])
-            if at + len(ids) > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.empty(max(len(self.flat), len(ids)), dtype=np.uint32)))
-            self.flat[at : at + len(ids)] = ids
-            self.start[n + 1] = at + len(ids)
-            self.number[word] = n
+        self.start = np.zeros(remembered + 1, dtype=np.int64)  # of each piece; the next one's start is its end
 
     def encode(self, text: str) -> np.ndarray:
-        words = text.translate(self.SPACES).split(" ") if text.isascii() else text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        parts = [self._some(words[at : at + self.remembered // 2]) for at in range(0, len(words), self.remembered // 2)]
-        return np.concatenate(parts)
-
-    def _some(self, words: list[str]) -> np.ndarray:
-        number = self.number
-        new = set(words).difference(number)
+        plain = self.known and PLAIN.fullmatch(text) is not None and MARK not in text
+        if plain:
+            pieces = PIECE.findall(text.lower())
+        else:
+            pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        step = self.remembered // 2
+        parts = [self._some(pieces[at : at + step], plain) for at in range(0, len(pieces), step)]
+        return np.concatenate(parts) if parts else np.empty(0, dtype=np.uint32)
+
+    def _some(self, pieces: list[str], plain: bool) -> np.ndarray:
+        new = list(set(pieces).difference(self.number))
+        if len(self.number) + len(new) > self.remembered:
+            self._forget()
+            new = list(set(pieces).difference(self.number))
+        known = len(self.number)
         if new:
-            if len(number) + len(new) > self.remembered:
-                self.clear()
-                number, new = self.number, set(words)
-            self.learn(sorted(new))
-        which = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
+            self._learn(new, plain)
+        which = np.array(list(map(self.number.__getitem__, pieces)), dtype=np.int64)
+        self.again[which[which < known]] = True
         start = self.start[which]
         size = self.start[which + 1] - start
         ends = np.cumsum(size)
-        total = int(ends[-1])
-        return self.flat[np.repeat(start - (ends - size), size) + np.arange(total)]
+        return self.flat[np.repeat(start - (ends - size), size) + np.arange(ends[-1])]
+
+    def _learn(self, pieces: list[str], plain: bool) -> None:
+        if plain:
+            found = [[token.id for token in self.model.tokenize(_visible(piece))] for piece in pieces]
+        else:
+            found = [encoding.ids for encoding in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        self._add(pieces, [id_ for ids in found for id_ in ids], np.array([len(ids) for ids in found]))
+
+    def _add(self, pieces: list[str], ids: list[int] | np.ndarray, sizes: np.ndarray) -> None:
+        n, at = len(self.number), int(self.start[len(self.number)])
+        end = at + len(ids)
+        if end > len(self.flat):
+            self.flat = np.concatenate((self.flat[:at], np.empty(2 * end, dtype=np.uint32)))
+        self.flat[at:end] = ids
+        self.start[n + 1 : n + 1 + len(pieces)] = at + np.cumsum(sizes)
+        self.number.update(zip(pieces, range(n, n + len(pieces))))
+
+    def _forget(self) -> None:
+        kept = np.flatnonzero(self.again)[: self.remembered // 2]
+        pieces, start = list(self.number), self.start
+        ids = [self.flat[start[k] : start[k + 1]] for k in kept]
+        sizes = start[kept + 1] - start[kept]
+        self.number = {}
+        self.again[:] = False
+        self._add([pieces[k] for k in kept], np.concatenate([np.empty(0, dtype=np.uint32), *ids]), sizes)
+
+
+def _visible(piece: str) -> str:
+    return piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTES)
 
 
 @once
