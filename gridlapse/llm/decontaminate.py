@@ -143,5 +143,7 @@ def contaminated_pairs(
 
 def without_items(docs: DataFrame, found: DataFrame, *, text: str = "text") -> DataFrame:
     """The documents whose text holds no item, in their own columns."""
-    gone = found.select(F.col("text_key").alias("_gone")).distinct()
-    return docs.join(gone, F.md5(text_of(text)) == F.col("_gone"), "left_anti")
+    gone = found.select(F.col("text_key").alias("gone")).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, F.md5(text_of(text)).alias("own"))
+    return keyed.join(gone, F.col("own") == F.col("gone"), "left_anti").select("row.*")

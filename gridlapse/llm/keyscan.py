@@ -93,12 +93,13 @@ def train(
     values = F.explode(F.transform(F.concat("assign", "access", "hex"), lambda s: s["value"]))
     random = spans.select(values.alias("value"))
     key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("-")))
-    chosen = docs.select(key.alias("_chosen")).distinct().orderBy("_chosen").limit(documents)
-    sample = docs.withColumn("_key", key).join(F.broadcast(chosen), F.col("_key") == F.col("_chosen"), "left_semi")
-    ordinary = sample.select(F.explode(F.regexp_extract_all(text_of(text), F.lit(IDENTIFIER), F.lit(0))).alias("value"))
+    keyed = docs.select(key.alias("key"), text_of(text).alias("body"))
+    chosen = keyed.select(F.col("key").alias("chosen")).distinct().orderBy("chosen").limit(documents)
+    sample = keyed.join(F.broadcast(chosen), F.col("key") == F.col("chosen"), "left_semi")
+    ordinary = sample.select(F.explode(F.regexp_extract_all("body", F.lit(IDENTIFIER), F.lit(0))).alias("value"))
     counts: list[dict] = [defaultdict(int), defaultdict(int)]
     totals: list[dict] = [defaultdict(int), defaultdict(int)]
-    inside = F.col("pair").rlike(f"^[A-Za-z0-9+/_.=-]{{2}}$")
+    inside = F.col("pair").rlike("^[A-Za-z0-9+/_.=-]{2}$")
     for pair, n, label in _pairs(random, 0).unionByName(_pairs(ordinary, 1)).where(inside).collect():
         counts[label][pair] += n
         totals[label][pair[0]] += n

@@ -152,16 +152,17 @@ def mixed_documents(docs: DataFrame, mixed: DataFrame, *, doc_id: str = "doc_id"
     without words.
     """
     # Equal rows are one here and share what they were given.
-    taken = mixed.where("taken > 0").groupBy(F.col("row_key").alias("_row")).agg(
-        F.sum("epochs").alias("_epochs"), F.sum("extra").alias("_extra"), F.min("size").alias("_size")
+    taken = mixed.where("taken > 0").groupBy(F.col("row_key").alias("taken_key")).agg(
+        F.sum("epochs").alias("epochs"), F.sum("extra").alias("extra"), F.min("size").alias("size")
     )
-    names = docs.columns
-    ranked = docs.withColumn("_row", row_key(doc_id, text, source)).join(taken, "_row")
-    one = F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0)))
-    words = F.col("_epochs") * F.col("_size") + F.col("_extra")
-    whole = F.floor(words / F.col("_size"))
-    cut = (words - whole * F.col("_size")).cast("int")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, F.col(text).alias("body"), row_key(doc_id, text, source).alias("own_key"))
+    one = F.row_number().over(Window.partitionBy("own_key").orderBy(F.lit(0)))
+    ranked = keyed.join(taken, F.col("own_key") == F.col("taken_key")).withColumn("one", one).where("one = 1")
+    words = F.col("epochs") * F.col("size") + F.col("extra")
+    whole = F.floor(words / F.col("size"))
+    cut = (words - whole * F.col("size")).cast("int")
     copies = F.concat(F.array_repeat(F.lit(-1), whole.cast("int")), F.when(cut > 0, F.array(cut)).otherwise(F.array().cast("array<int>")))
-    spread = ranked.withColumn("_one", one).where("_one = 1").withColumn("_cut", F.explode(copies))
-    kept = F.when(F.col("_cut") < 0, F.col(text)).otherwise(first_words(text, F.col("_cut")))
-    return spread.select(*[kept.alias(c) if c == text else F.col(f"`{c}`") for c in names])
+    spread = ranked.select("row", "body", F.explode(copies).alias("cut"))
+    kept = F.when(F.col("cut") < 0, F.col("body")).otherwise(first_words("body", F.col("cut")))
+    return spread.select(*[kept.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -300,8 +300,9 @@ def keep_one(docs: DataFrame, found: DataFrame, *, doc_id: str = "doc_id", text:
         F.max("first").alias("_first"), F.count(F.lit(1)).alias("_rows")
     )
     listed = stage(listed.where("not _first or _rows > 1"), "gone-or-repeated")
-    keyed = docs.withColumn("_own_id", F.col(doc_id).cast("long")).withColumn("_own_hash", F.xxhash64(text_of(text)))
-    same = F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash"))
-    once = keyed.join(listed, same, "left_anti").select(docs.columns)
-    again = keyed.join(listed.where("_first"), same, "left_semi").dropDuplicates(["_own_id", "_own_hash"]).select(docs.columns)
-    return once.unionByName(again)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, F.col(doc_id).cast("long").alias("own_id"), F.xxhash64(text_of(text)).alias("own_hash"))
+    same = F.col("own_id").eqNullSafe(F.col("_id")) & (F.col("own_hash") == F.col("_hash"))
+    once = keyed.join(listed, same, "left_anti")
+    again = keyed.join(listed.where("_first"), same, "left_semi").dropDuplicates(["own_id", "own_hash"])
+    return once.unionByName(again).select("row.*")
