@@ -3,7 +3,7 @@
 Only DataFrame functions. One pass over the texts finds the fixed patterns' spans and every long token;
 what it keeps is narrow and is written once. The models are first-order: the chance of a character after
 the one before it, for random strings from the values that the fixed patterns found in all documents,
-for ordinary identifiers from the words of a bounded sample of documents. A token whose mean log
+for ordinary identifiers from the shorter tokens of a bounded sample of documents. A token whose mean log
 likelihood ratio per character is high enough is a span of kind ``markov``, unless it overlaps a span of
 a fixed pattern. The models come to the driver as one number for each pair of characters.
 
@@ -31,12 +31,16 @@ HEX = r"[0-9a-f]{24,}"
 
 METHOD = "markov"
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
-IDENTIFIER = r"[A-Za-z_]{6,}"
+IDENTIFIER = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{6,19}(?![A-Za-z0-9+/_=-])"
+#: Fewer different characters than this are a ruler or a number, not a random string.
+DIFFERENT = 8
 FIRST, LAST = ord("+"), ord("z")
 WIDTH = LAST - FIRST + 1
 ALPHABET = 65
 #: Share of the uniform distribution in each model.
 UNIFORM_RANDOM, UNIFORM_ORDINARY = 0.5, 0.05
+#: Pairs that the second character's own share counts for.
+BACKING = 5
 #: Documents whose words train the model of identifiers: those with the smallest hash.
 TRAINING_DOCUMENTS = 2000
 THRESHOLD = 0.5
@@ -87,7 +91,7 @@ def train(
 ) -> list[float]:
     """Log likelihood ratio, random to ordinary, for each pair of characters, ``WIDTH`` by ``WIDTH``.
 
-    Random strings: the values of all base spans. Ordinary ones: the letter words of ``documents``
+    Random strings: the values of all base spans. Ordinary ones: the shorter tokens of ``documents``
     documents, those whose id has the smallest hash. Without samples all ratios are 0.
     """
     values = F.explode(F.transform(F.concat("assign", "access", "hex"), lambda s: s["value"]))
@@ -106,9 +110,16 @@ def train(
     if not counts[0] or not counts[1]:
         return [0.0] * (WIDTH * WIDTH)
 
+    alone: list[dict] = [defaultdict(int), defaultdict(int)]
+    for label in (0, 1):
+        for pair, n in counts[label].items():
+            alone[label][pair[1]] += n
+    sums = [sum(seen.values()) for seen in alone]
+
     def chance(label: int, uniform: float, pair: str) -> float:
-        total = totals[label][pair[0]]
-        seen = counts[label][pair] / total if total else 1 / ALPHABET
+        # Rare first characters lean on how common the second one is at all.
+        common = alone[label][pair[1]] / sums[label]
+        seen = (counts[label][pair] + BACKING * common) / (totals[label][pair[0]] + BACKING)
         return uniform / ALPHABET + (1 - uniform) * seen
 
     return [
@@ -147,7 +158,10 @@ def scan(
     def apart(token: Column) -> Column:
         return ~F.exists(base, lambda s: (s["start"] < token["end"]) & (token["start"] < s["end"]))
 
-    random = F.filter("token", lambda s: apart(s) & (ratio(s["value"], model) >= threshold))
+    def varied(value: Column) -> Column:
+        return F.size(F.array_distinct(F.split(value, ""))) >= DIFFERENT
+
+    random = F.filter("token", lambda s: apart(s) & varied(s["value"]) & (ratio(s["value"], model) >= threshold))
     return spans.select("doc_id", *KINDS, random.alias(METHOD))
 
 
