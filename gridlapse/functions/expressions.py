@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridlapse.functions.buckets import micros
 from gridlapse.schema import (
@@ -73,10 +74,21 @@ def greatest_or_null(value: Column, floor: int) -> Column:
     return F.when(value.isNotNull(), F.greatest(value, F.lit(floor)))
 
 
+def whole_number(text: Column) -> Column:
+    """A bigint from text: ``123`` exactly, and ``123.0`` or ``1.5e12`` if they are whole."""
+    real = text.try_cast("double")
+    whole = (real == F.floor(real)) & (F.abs(real) < F.lit(float(1 << 63)))
+    return F.coalesce(text.try_cast("bigint"), F.when(whole, real.try_cast("bigint")))
+
+
 def coerce_numeric(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """Cast text to numbers; what does not parse becomes NULL, and NaN becomes NULL too."""
     casts = {}
+    texts = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
     for name, kind in types.items():
+        if kind == "bigint" and name in texts:
+            casts[name] = whole_number(F.trim(name))
+            continue
         value = F.col(name).try_cast(kind)
         if kind in ("double", "float"):
             value = F.when(~F.isnan(value), value)

@@ -134,13 +134,20 @@ def fit_baseline(name: str, train: DataFrame, label: str, seed: int = 42, **opti
     return Baseline(name, features, model=forest.fit(_assemble(train, features)))
 
 
-def spread(df: DataFrame) -> DataFrame:
+#: Partitions of the training rows of tree learners.
+TREE_PARTITIONS = 32
+
+
+def spread(df: DataFrame, partitions: int = TREE_PARTITIONS) -> DataFrame:
     """Even partitions for tree learners: they are bound by CPU, not by reading.
 
     Input read from files can come in few or uneven partitions, and each tree level waits for the
-    slowest. One shuffle of the training rows buys many balanced passes.
+    slowest. One shuffle of the training rows buys many balanced passes. Bootstrap samples are drawn
+    per partition, so rows are dealt by their content into a number of partitions that no session
+    setting changes, and sorted there: the same rows and seed give the same forest.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    columns = [F.col(name) for name in df.columns]
+    return df.repartition(partitions, F.xxhash64(*columns)).sortWithinPartitions(*columns)
 
 
 def predict_all(

@@ -6,6 +6,7 @@ metrics are one aggregate over it whatever the number of models, seeds and rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,7 +32,7 @@ def metric_columns(y: str = "y", prediction: str = "prediction") -> dict[str, Co
     both = size + F.abs(F.col(prediction).cast("double"))
     squared = F.sum(error * error)
     total = F.var_pop(truth) * F.count(truth)
-    return {
+    measures = {
         "mae": F.avg(F.abs(error)),
         "rmse": F.sqrt(F.avg(error * error)),
         "mape": F.avg(F.abs(error) / F.greatest(size, F.lit(EPS))),
@@ -40,6 +41,9 @@ def metric_columns(y: str = "y", prediction: str = "prediction") -> dict[str, Co
             F.lit(1.0) - squared / F.nullif(total, F.lit(0.0))
         ),
     }
+    # A row without truth or prediction must not make a model look better than it is.
+    complete = F.count_if(error.isNull() | F.isnan(error)) == 0
+    return {name: F.when(complete, c).otherwise(F.lit(math.nan)) for name, c in measures.items()}
 
 
 def regression_metrics(
@@ -176,17 +180,33 @@ def ensemble_mean(
     predictions: DataFrame,
     key: Sequence[str],
     *,
+    members: int | None = None,
     atol: float = TRUTH_ATOL,
     rtol: float = TRUTH_RTOL,
 ) -> DataFrame:
-    """Mean prediction over members per row key; fails while running if their truths differ."""
+    """Mean prediction over members per row key.
+
+    Fails while running if the members' truths differ or aren't numbers, or if a row lacks a member
+    or has one twice. ``members`` is their number; by default the different models and seeds.
+    """
+    names = [name for name in ("family", "model", "seed") if name in predictions.columns]
+    if members is not None:
+        expected = F.lit(members)
+    elif names:
+        expected = predictions.select(*names).distinct().agg(F.count(F.lit(1))).scalar()
+    else:
+        expected = F.count(F.lit(1))
     spread = F.max("y") - F.min("y")
-    agree = spread <= F.lit(atol) + F.lit(rtol) * F.abs(F.max("y"))
+    numbers = F.count_if(F.col("y").isNull() | F.isnan("y")) == 0
+    agree = numbers & (spread <= F.lit(atol) + F.lit(rtol) * F.abs(F.max("y")))
     mismatch = F.raise_error(F.lit("Ensemble members disagree on the true value of a row"))
+    missing = F.raise_error(F.lit("A row lacks an ensemble member's prediction or has it twice"))
+    full = (F.count("prediction") == expected) & (F.count(F.lit(1)) == expected)
+    if names:
+        full = full & (F.size(F.collect_set(F.struct(*names))) == expected)
+    mean = F.when(~agree, mismatch.cast("double")).when(~full, missing.cast("double")).otherwise(F.avg("prediction"))
     return predictions.groupBy(*key).agg(
-        F.max("y").alias("y"),
-        F.when(agree, F.avg("prediction")).otherwise(mismatch.cast("double")).alias("prediction"),
-        F.count(F.lit(1)).alias("member_count"),
+        F.max("y").alias("y"), mean.alias("prediction"), F.count(F.lit(1)).alias("member_count")
     )
 
 

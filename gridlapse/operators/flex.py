@@ -43,7 +43,8 @@ def build_task_states(
 ) -> DataFrame:
     """Classified tasks from an exported task trace, whose numbers may still be text."""
     require_columns(trace, TASK_TRACE_REQUIRED)
-    untyped = {"window_start", "cell", "pdu"}
+    # Times, names and ids stay as they are: an id may be any text.
+    untyped = {"window_start", "cell", "pdu", "window_index", "collection_id", "instance_index", "machine_id"}
     numeric = {
         name: contract_type(name).simpleString()
         for name in TASK_TRACE_REQUIRED
@@ -96,7 +97,7 @@ def flex_with_power(windows: DataFrame, power_windows: DataFrame) -> DataFrame:
     """Attach power after aggregation.
 
     Power is unique per window, so this equals joining it to every task first, yet only one row
-    per window is moved, and both sides are already partitioned by the join keys.
+    per window is moved.
     """
     return windows.drop(*LABEL_COLUMNS).join(power_windows, FLEX_KEYS, "left")
 
@@ -133,9 +134,13 @@ def flexibility_table(
     max_class: int = 1,
     require_batch_scheduler: bool = True,
     null_slack_as_zero: bool = False,
+    min_runtime_us: int = WINDOW_US,
     hot_share: float | None = HOT_SHARE,
 ) -> DataFrame:
-    """Raw tables to flex windows in one plan; no task-level export in between."""
+    """Raw tables to flex windows in one plan; no task-level export in between.
+
+    The least runtime of a task is a rule of its own, whatever the width of the windows.
+    """
     scope = {"low": low, "high": high, "width_us": width_us}
     states = task_states(
         usage,
@@ -147,7 +152,7 @@ def flexibility_table(
         hot_share=hot_share,
         **scope,
     )
-    classified = classify_tasks(task_timing(states, rho, width_us), max_class, require_batch_scheduler)
+    classified = classify_tasks(task_timing(states, rho, min_runtime_us), max_class, require_batch_scheduler)
     power_windows = power_rollup(select_power(power, None if cell is None else [cell], pdus), **scope)
     return flex_windows(classified, power_windows, null_slack_as_zero=null_slack_as_zero)
 

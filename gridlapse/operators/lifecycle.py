@@ -38,13 +38,19 @@ COLLECTION = "collection_id"
 TASK_KEYS = ["collection_id", "instance_index"]
 
 
+def cell_keys(keys: Sequence[str], *frames: DataFrame) -> list[str]:
+    """The keys, with the cell in front if all frames have it: ids count within a cell."""
+    return [*(["cell"] if all("cell" in df.columns for df in frames) else []), *keys]
+
+
 def distinct_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select(*keys).distinct()
 
 
 def restrict_to_collections(events: DataFrame, usage: DataFrame) -> DataFrame:
     """Rows whose collection occurs in ``usage``. Works on events and on finished lifecycles."""
-    return events.join(distinct_keys(usage, [COLLECTION]), COLLECTION, "left_semi")
+    keys = cell_keys([COLLECTION], events, usage)
+    return events.join(distinct_keys(usage, keys), keys, "left_semi")
 
 
 def _first_time(*event_types: int) -> Column:
@@ -52,13 +58,13 @@ def _first_time(*event_types: int) -> Column:
 
 
 def collection_lifecycle(events: DataFrame, usage: DataFrame | None = None) -> DataFrame:
-    """One row per collection.
+    """One row per collection, of each cell if events have one.
 
     The restriction to collections of ``usage`` is stated after the aggregate, which commutes with
     it. Events are then combined map-side before any shuffle, however many a collection has;
     where the key list is small enough to broadcast, Spark moves the restriction below by itself.
     """
-    lifecycle = events.groupBy(COLLECTION).agg(
+    lifecycle = events.groupBy(*cell_keys([COLLECTION], events)).agg(
         _first_time(EVENT_SUBMIT).alias("collection_submit_time"),
         _first_time(EVENT_SCHEDULE).alias("collection_schedule_time"),
         _first_time(*COLLECTION_END_EVENTS).alias("collection_end_time"),
@@ -73,8 +79,8 @@ def collection_lifecycle(events: DataFrame, usage: DataFrame | None = None) -> D
 
 
 def instance_lifecycle(events: DataFrame, usage: DataFrame | None = None) -> DataFrame:
-    """One row per (collection, instance). Event 4 ends an instance, though not a collection."""
-    lifecycle = events.groupBy(*TASK_KEYS).agg(
+    """One row per (collection, instance), of each cell if events have one. Event 4 ends an instance, though not a collection."""
+    lifecycle = events.groupBy(*cell_keys(TASK_KEYS, events)).agg(
         _first_time(EVENT_SUBMIT).alias("instance_submit_time"),
         _first_time(EVENT_QUEUE).alias("instance_queue_time"),
         _first_time(EVENT_ENABLE).alias("instance_enable_time"),
@@ -112,6 +118,7 @@ def with_lifecycles(
     collection_events: DataFrame,
     instance_events: DataFrame,
     *,
+    scoped: bool = False,
     hot_share: float | None = HOT_SHARE,
     min_hot_rows: int = MIN_HOT_ROWS,
 ) -> DataFrame:
@@ -120,19 +127,28 @@ def with_lifecycles(
     Task rows are by far the largest input: a task has one row per window. They are therefore
     shuffled once. The two lifecycles meet at the grain of one row per task, on the distinct task
     keys found in the usage; those keys' counts also tell which tasks or collections are hot.
+    ``scoped`` says that the tasks are a part of the usage: events of other collections are then
+    left out before they are aggregated.
     """
-    counts = key_counts(tasks, TASK_KEYS)
+    task_keys = cell_keys(TASK_KEYS, tasks)
+    counts = key_counts(tasks, task_keys)
+    found = counted_keys(counts, task_keys)
+    if scoped:
+        collection_events = restrict_to_collections(collection_events, found)
+        instance_events = restrict_to_collections(instance_events, found)
+    collections = collection_lifecycle(collection_events)
+    instances = instance_lifecycle(instance_events)
     attributes = lookup_join(
-        counted_keys(counts, TASK_KEYS),
-        collection_lifecycle(collection_events),
-        [COLLECTION],
+        found,
+        collections,
+        cell_keys([COLLECTION], found, collections),
         hot_share=hot_share,
         min_hot_rows=min_hot_rows,
-    ).join(instance_lifecycle(instance_events), TASK_KEYS, "left")
+    ).join(instances, cell_keys(TASK_KEYS, found, instances), "left")
     return lookup_join(
         tasks,
         attributes,
-        TASK_KEYS,
+        task_keys,
         null_safe=True,
         counts=counts,
         hot_share=hot_share,
@@ -160,7 +176,8 @@ def task_trace(
     """The 36-column task trace: usage, both lifecycles and the window's power."""
     scope = {"low": low, "high": high, "width_us": width_us}
     tasks = placed_tasks(usage, machines, cell=cell, pdus=pdus, **scope)
-    joined = with_lifecycles(tasks, collection_events, instance_events, hot_share=hot_share)
+    scoped = any(x is not None for x in (cell, pdus, low, high))
+    joined = with_lifecycles(tasks, collection_events, instance_events, scoped=scoped, hot_share=hot_share)
     windows = power_rollup(select_power(power, None if cell is None else [cell], pdus), **scope)
     keys = ["cell", "pdu", "window_index"]
     traced = lookup_join(
@@ -190,6 +207,7 @@ def task_states(
     tasks = placed_tasks(
         usage, machines, cell=cell, pdus=pdus, low=low, high=high, width_us=width_us
     )
+    scoped = any(x is not None for x in (cell, pdus, low, high))
     return effective_fields(
-        with_lifecycles(tasks, collection_events, instance_events, hot_share=hot_share)
+        with_lifecycles(tasks, collection_events, instance_events, scoped=scoped, hot_share=hot_share)
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlapse.functions.buckets import in_window_range, window_index, window_start
@@ -47,10 +47,17 @@ def usage_on_machines(usage: DataFrame, machines: DataFrame) -> DataFrame:
     """Usage rows of the given machines, with their cell and PDU.
 
     No hint: Spark broadcasts the machine map while its size allows it, and sorts, merges and
-    splits skewed partitions beyond that.
+    splits skewed partitions beyond that. Usage without a cell fails while running on a machine id
+    that the map has in several cells: its rows could be of either.
     """
-    keys = ["machine_id", "cell"] if "cell" in usage.columns else ["machine_id"]
-    return usage.join(machines.select("machine_id", "pdu", "cell"), keys)
+    machines = machines.select("machine_id", "pdu", "cell")
+    if "cell" in usage.columns:
+        return usage.join(machines, ["machine_id", "cell"])
+    same_id = Window.partitionBy("machine_id")
+    unclear = F.raise_error(F.concat(F.lit("Usage has no cell, and several have machine "), F.col("machine_id").cast("string")))
+    one_cell = F.min("cell").over(same_id) == F.max("cell").over(same_id)
+    single = F.when(one_cell | F.col("cell").isNull(), F.col("cell")).otherwise(unclear)
+    return usage.join(machines.select("machine_id", "pdu", single.alias("cell")), ["machine_id"])
 
 
 def cpu_columns(usage: DataFrame) -> DataFrame:
@@ -216,10 +223,11 @@ def pdu_training_table_exact(
 
 
 def instance_max_priority(instance_events: DataFrame) -> DataFrame:
+    """Per task and machine, of each cell if events have one."""
+    keys = ["collection_id", "instance_index", "machine_id"]
+    keys = ["cell", *keys] if "cell" in instance_events.columns else keys
     return (
-        instance_events.where(not_in_alloc())
-        .groupBy("collection_id", "instance_index", "machine_id")
-        .agg(F.max("priority").alias("priority"))
+        instance_events.where(not_in_alloc()).groupBy(*keys).agg(F.max("priority").alias("priority"))
     )
 
 
@@ -237,7 +245,10 @@ def usage_with_priority(
     placed = usage_on_machines(usage, select_machines(machines, cell, pdus)).where(
         usage_filter(exclude_alloc, min_duration_us)
     )
+    priorities = instance_max_priority(instance_events)
+    by_cell = ["cell"] if "cell" in priorities.columns else []
     facts = placed.select(
+        *by_cell,
         F.col("start_time").alias("window_start"),
         F.col("end_time").alias("window_end"),
         "collection_id",
@@ -247,8 +258,8 @@ def usage_with_priority(
     )
     return lookup_join(
         facts,
-        instance_max_priority(instance_events),
-        ["collection_id", "instance_index", "machine_id"],
+        priorities,
+        [*by_cell, "collection_id", "instance_index", "machine_id"],
         hot_share=hot_share,
     )
 

@@ -6,7 +6,9 @@ key columns only). A key above the threshold gets ``ceil(rows / threshold)`` sal
 spread over them, and its single lookup row is repeated once per salt.
 
 Sizes: with ``hot_share = s`` at most ``1/s`` keys can be hot and at most ``2/s`` lookup copies are
-made, whatever the data size. That bound is what makes the broadcast of the hot list safe.
+made, until a share of the table is more than ``MAX_SALT_ROWS``; from then on at most one key for each
+that many rows. A table of 10**12 rows has 50,000 hot keys at most, a few megabytes: that bound is
+what makes the broadcast of the hot list safe.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql import types as T
 
 HOT_SHARE = 1.0 / 2000.0
 MIN_HOT_ROWS = 1_000_000
+#: No salt gets more rows than this, however large the table.
+MAX_SALT_ROWS = 20_000_000
 
 _ROWS = "_key_rows"
 _SALTS = "_salts"
@@ -45,20 +49,20 @@ def hot_keys(
     keys: Sequence[str],
     hot_share: float = HOT_SHARE,
     min_hot_rows: int = MIN_HOT_ROWS,
+    max_salt_rows: int = MAX_SALT_ROWS,
 ) -> DataFrame:
-    """Keys holding more than the threshold, with their number of salts. At most 1/hot_share rows."""
+    """Keys holding more than the threshold, with their number of salts.
+
+    At most ``1/hot_share`` rows, or rows over ``max_salt_rows`` if that is more.
+    """
     total = counts.agg(F.sum(_ROWS)).scalar()
-    threshold = F.greatest(F.lit(float(min_hot_rows)), total * F.lit(hot_share))
+    share = F.greatest(F.lit(float(min_hot_rows)), total * F.lit(hot_share))
+    threshold = F.least(share, F.lit(float(max_salt_rows)))
     return counts.where(F.col(_ROWS) > threshold).select(
         *keys, F.ceil(F.col(_ROWS) / threshold).cast("int").alias(_SALTS)
     )
 
 
-def _same_key(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: bool) -> Column:
-    tests = [left[k].eqNullSafe(right[k]) if null_safe else left[k] == right[k] for k in keys]
-    return reduce(lambda a, b: a & b, tests)
-
-
 def _tag(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
     renamed = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], _SALTS)
     tests = [df[k].eqNullSafe(renamed[f"_hot_{k}"]) for k in keys]

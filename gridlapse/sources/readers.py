@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridlapse.functions.buckets import parse_utc
+from gridlapse.functions.expressions import whole_number
 from gridlapse.operators.rollup import select_power
 from gridlapse.schema import (
     COLLECTION_EVENTS_SCHEMA,
@@ -21,6 +22,9 @@ from gridlapse.schema import (
 )
 
 
+_UNFIT = "_unfit_line"
+
+
 def _suffix(path: str) -> str:
     name = path.rstrip("/").rsplit("/", 1)[-1].lower()
     return name[name.rfind(".") :] if "." in name else ""
@@ -45,23 +49,31 @@ def _parsed_lines(
     if header is None:
         return None
     names = [name.strip() for name in header[0].strip().split(",")]
-    text_schema = ", ".join(f"`{name}` string" for name in names)
-    data = lines.where(~F.col("value").startswith(header_prefix)).select(
-        F.from_csv("value", text_schema).alias("_row")
+    text_schema = ", ".join(f"`{name}` string" for name in names) + f", {_UNFIT} string"
+    filled = lines.where(F.trim("value") != "")
+    data = filled.where(~F.col("value").startswith(header_prefix)).select(
+        F.from_csv("value", text_schema, {"columnNameOfCorruptRecord": _UNFIT}).alias("_row")
     )
-    typed = data.select("_row.*").select(
-        *[
-            parse_utc(F.col(name)).alias(name)
-            if isinstance(contract_type(name), T.TimestampType)
-            else F.col(name).try_cast(contract_type(name)).alias(name)
-            for name in names
-        ]
-    )
-    return typed, names
+    return data.select("_row.*"), names
+
+
+def _typed(name: str) -> Column:
+    kind = contract_type(name)
+    if isinstance(kind, T.TimestampType):
+        return parse_utc(F.col(name))
+    if isinstance(kind, T.LongType):
+        return whole_number(F.trim(name))
+    return F.col(name).try_cast(kind)
 
 
 def _is_data_row() -> Column:
-    return F.col("window_start").isNotNull() & F.col("window_index").isNotNull()
+    """A line with the header's number of fields; any other is preamble."""
+    return F.col(_UNFIT).isNull()
+
+
+def _present(value: Column, name: str) -> Column:
+    damaged = F.raise_error(F.concat(F.lit(f"A data line's {name} does not parse: "), F.coalesce(F.col(name), F.lit("null"))))
+    return F.when(value.isNotNull(), value).otherwise(damaged)
 
 
 def read_csv_with_preamble(
@@ -69,13 +81,18 @@ def read_csv_with_preamble(
 ) -> DataFrame:
     """CSV whose header may come after some lines of other text.
 
-    A file read in splits has no reliable line order, so nothing is skipped by position: lines are
-    kept if their window start and index parse. Without such a header it is a plain CSV.
+    A file read in splits has no reliable line order, so nothing is skipped by position: preamble is
+    what has not the header's number of fields. A data line whose window start or index does not
+    parse fails while running, so no row is lost unseen. Without such a header it is a plain CSV.
     """
     parsed = _parsed_lines(spark, path, header_prefix)
     if parsed is None:
         return read_frame(spark, path)
-    return parsed[0].where(_is_data_row())
+    lines, names = parsed
+    keys = ("window_start", "window_index")
+    return lines.where(_is_data_row()).select(
+        *[(_present(_typed(name), name) if name in keys else _typed(name)).alias(name) for name in names]
+    )
 
 
 def dropped_preamble_lines(

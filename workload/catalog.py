@@ -154,6 +154,7 @@ def coerce_numeric(t: Trace) -> DataFrame:
     text = t.table("orders").select(
         "o_orderkey",
         F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority"))
+        .when(F.col("o_orderkey") % 5 == 0, F.concat(F.col("o_custkey").cast("string"), F.lit(".0")))
         .otherwise(F.col("o_custkey").cast("string"))
         .alias("whole"),
         F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderstatus"))
@@ -290,7 +291,7 @@ def task_states(t: Trace) -> DataFrame:
     states = lifecycle.task_states(
         t.usage, t.machines, t.collection_events, t.instance_events, width_us=MONTH
     )
-    timed = expressions.task_timing(states, 1.5, MONTH)
+    timed = expressions.task_timing(states, 1.5)
     return timed.select(
         "cell",
         "pdu",
@@ -407,6 +408,32 @@ def collection_lifecycle(t: Trace) -> DataFrame:
     return lifecycle.collection_lifecycle(t.collection_events, placed(t))
 
 
+#: A scope of cell, PDUs and windows of a day.
+SCOPE = {"cell": "ASIA", "pdus": ["NATION_8", "NATION_9", "NATION_12", "NATION_18"], "low": 8300, "high": 9300}
+
+
+@query
+def task_trace_scope(t: Trace) -> DataFrame:
+    return lifecycle.task_trace(
+        t.usage, t.machines, t.collection_events, t.instance_events, t.power, width_us=DAY, **SCOPE
+    )
+
+
+@query
+def lifecycles_by_cell(t: Trace) -> DataFrame:
+    """Two cells that share all collection and instance ids: events of odd times are of the second."""
+    cell = F.when(F.col("time") / DAY % 2 < 1, "x").otherwise("y")
+    collections = lifecycle.collection_lifecycle(t.collection_events.withColumn("cell", cell))
+    instances = lifecycle.instance_lifecycle(t.instance_events.withColumn("cell", cell))
+    return instances.select(
+        "cell", "collection_id", "instance_index", "instance_submit_time", "instance_end_time", "instance_priority"
+    ).join(
+        collections.select("cell", "collection_id", "collection_submit_time", "collection_end_time", "collection_priority"),
+        ["cell", "collection_id"],
+        "left",
+    )
+
+
 @query
 def instance_lifecycle(t: Trace) -> DataFrame:
     return lifecycle.instance_lifecycle(t.instance_events, placed(t))

@@ -146,6 +146,7 @@ COALESCE(instance_priority, -1) AS priority FROM trace_us"""
 
 SQL["coerce_numeric"] = f"""SELECT o_orderkey,
 TRY_CAST(CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority
+         WHEN o_orderkey % 5 = 0 THEN CAST(o_custkey AS VARCHAR) || '.0'
          ELSE CAST(o_custkey AS VARCHAR) END AS BIGINT) AS whole,
 round(TRY_CAST(CASE WHEN o_orderkey % 4 = 0 THEN o_orderstatus
          ELSE CAST(o_totalprice AS VARCHAR) END AS DOUBLE), 6) AS real FROM orders"""
@@ -333,6 +334,21 @@ GROUP BY collection_id, instance_index"""
 
 SQL["collection_lifecycle"] = "SELECT * FROM collections"
 SQL["instance_lifecycle"] = "SELECT * FROM instances"
+_TWO_CELLS = f"CASE WHEN (time / CAST({D} AS DOUBLE)) % 2 < 1 THEN 'x' ELSE 'y' END AS cell"
+CTES["collections_by_cell"] = f"""
+SELECT cell, collection_id, min(CASE WHEN type = 0 THEN time END) AS collection_submit_time,
+       min(CASE WHEN type IN (5, 6, 7, 8) THEN time END) AS collection_end_time,
+       max(priority) AS collection_priority
+FROM (SELECT *, {_TWO_CELLS} FROM collection_events) GROUP BY 1, 2"""
+CTES["instances_by_cell"] = f"""
+SELECT cell, collection_id, instance_index, min(CASE WHEN type = 0 THEN time END) AS instance_submit_time,
+       min(CASE WHEN type IN (4, 5, 6, 7, 8) THEN time END) AS instance_end_time,
+       max(priority) AS instance_priority
+FROM (SELECT *, {_TWO_CELLS} FROM instance_events) GROUP BY 1, 2, 3"""
+SQL["lifecycles_by_cell"] = """
+SELECT i.*, collection_submit_time, collection_end_time, collection_priority
+FROM instances_by_cell i LEFT JOIN collections_by_cell c
+  ON i.cell = c.cell AND i.collection_id = c.collection_id"""
 
 SQL["task_trace"] = f"""SELECT {bucket('u.start_time', D)} * {D} AS window_start,
 {bucket('u.start_time', D)} AS window_index, u.cell, u.pdu, u.start_time, u.end_time,
@@ -352,6 +368,10 @@ LEFT JOIN instances i ON u.collection_id = i.collection_id AND u.instance_index
 LEFT JOIN power_1d p ON u.cell = p.cell AND u.pdu = p.pdu
   AND {bucket('u.start_time', D)} = p.window_index"""
 
+SQL["task_trace_scope"] = f"""SELECT * FROM ({SQL['task_trace']})
+WHERE cell = 'ASIA' AND pdu IN ('NATION_8', 'NATION_9', 'NATION_12', 'NATION_18')
+  AND window_index BETWEEN 8300 AND 9300"""
+
 CTES["states_30d"] = f"""
 SELECT u.cell, u.pdu, {bucket('u.start_time', M)} AS window_index,
        {bucket('u.start_time', M)} * {M} AS window_start,
@@ -370,8 +390,8 @@ SELECT u.cell, u.pdu, {bucket('u.start_time', M)} AS window_index,
 FROM placed u
 LEFT JOIN collections c ON u.collection_id = c.collection_id
 LEFT JOIN instances i ON u.collection_id = i.collection_id AND u.instance_index = i.instance_index"""
-CTES["timed_30d"] = _timed("states_30d", M, "1.5")
-CTES["timed_30d_any"] = _timed("states_30d", M, "2.5")
+CTES["timed_30d"] = _timed("states_30d", W, "1.5")
+CTES["timed_30d_any"] = _timed("states_30d", W, "2.5")
 CTES["classified_30d"] = _classified("timed_30d", 1, True)
 CTES["classified_30d_any"] = _classified("timed_30d_any", 1, False)
 

@@ -43,6 +43,8 @@ def read_csv_with_preamble(t: Trace) -> DataFrame:
     windows = flex.flex_windows(states(t))
     stamp = F.concat(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC"))
     cells = [stamp if name == "window_start" else F.col(name).cast("string") for name in FLEX_CSV]
+    # Whole numbers as tools write them for columns with gaps.
+    cells = [F.concat(c, F.lit(".0")) if n in ("window_index", "task_count") else c for c, n in zip(cells, FLEX_CSV)]
     rows = windows.select(F.concat_ws(",", *cells).alias("value"))
     assert ",".join(FLEX_CSV).startswith(CSV_HEADER_PREFIX)
     head = ["SELECT t.window_start, count(*)", "FROM tasks AS t", "", ",".join(FLEX_CSV)]
@@ -127,7 +129,7 @@ def write_dataset_metadata(t: Trace) -> DataFrame:
 def write_flex_trace(t: Trace) -> DataFrame:
     path = folder(t, "flex-trace")
     tasks = states(t)
-    writers.write_flex_trace(tasks, flex.flex_windows(tasks), path, version="flex_v1")
+    writers.write_flex_trace(tasks, flex.flex_windows, path, version="flex_v1")
     return readers.read_metadata(t.spark, path).select(
         "version", "rho", "max_flex_scheduling_class", "task_rows", "window_rows"
     )
