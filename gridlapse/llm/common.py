@@ -48,11 +48,21 @@ def output_name(prefix: str) -> str:
     return f"{prefix}-{part:06d}-{uuid.uuid4().hex}"
 
 
-def utf8_lists(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Each batch with its text column as UTF-8 bytes, null as empty."""
+#: Rows of a batch whose texts are Python objects at a time.
+SLICE = 256
+
+
+def utf8(texts: pa.Array) -> Iterator[bytes]:
+    """A text column's values as UTF-8 bytes, null as empty; only some of them are copied at a time."""
+    for at in range(0, len(texts), SLICE):
+        for text in texts.slice(at, SLICE).cast(pa.binary()).to_pylist():
+            yield text or b""
+
+
+def utf8_lists(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, Iterator[bytes]]]:
+    """Each batch with its text column's values, to be gone through once."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()
-        yield batch, [t or b"" for t in texts]
+        yield batch, utf8(batch.column(batch.schema.get_field_index(column)))
 
 
 def host_threads() -> None:

@@ -19,7 +19,7 @@ the share of good ones, 0.5 without any. Null ids stay, rows that repeat an id a
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlapse.llm.common import stage, utf8_lists
+from gridlapse.llm.common import stage, utf8, utf8_lists
 
 SAMPLE = 2000
 LINES = 200_000
@@ -253,7 +253,7 @@ def fit(documents: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, good_s
     return model
 
 
-def _chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
+def _chunks(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
     some, size = [], 0
     for text in texts:
         some.append(text)
@@ -265,7 +265,7 @@ def _chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield some
 
 
-def scores(texts: list[bytes], model: Model) -> np.ndarray:
+def scores(texts: Iterable[bytes], model: Model) -> np.ndarray:
     found = [np.empty(0)]
     for chunk in _chunks(texts):
         some = [line_features(t) for t in chunk]
@@ -338,7 +338,7 @@ def score(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in utf8_lists(batches, "text"):
-            found = scores(texts, model) if isinstance(model, Model) else np.full(len(texts), model)
+            found = scores(texts, model) if isinstance(model, Model) else np.full(batch.num_rows, model)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "score"])
 
     kept = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -354,8 +354,8 @@ def keep_good(docs: DataFrame, model: Model | float, *, text: str = "text", thre
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column(place).cast(pa.binary()).to_pylist()]
-            found = scores(texts, model) if isinstance(model, Model) else np.full(len(texts), model)
+            texts = utf8(batch.column(place))
+            found = scores(texts, model) if isinstance(model, Model) else np.full(batch.num_rows, model)
             yield batch.filter(pa.array(found >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -142,8 +142,11 @@ def contaminated_pairs(
 
 
 def without_items(docs: DataFrame, found: DataFrame, *, text: str = "text") -> DataFrame:
-    """The documents whose text holds no item, in their own columns."""
-    gone = found.select(F.col("text_key").alias("gone")).distinct()
+    """The documents whose text holds no item, in their own columns.
+
+    The digests of the others are written first, so that Spark sends them to all tasks while they are small.
+    """
+    gone = stage(found.select(F.unhex("text_key").alias("gone")).distinct(), "with-items")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    keyed = docs.select(row, F.md5(text_of(text)).alias("own"))
+    keyed = docs.select(row, F.unhex(F.md5(text_of(text))).alias("own"))
     return keyed.join(gone, F.col("own") == F.col("gone"), "left_anti").select("row.*")

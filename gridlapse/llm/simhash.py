@@ -88,10 +88,12 @@ def fingerprints(docs: DataFrame, rule: Rule, *, doc_id: str = "doc_id", text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in utf8_lists(batches, "text"):
-            found = [[fingerprint_of(t, rule.words, rule.repeats) for t in texts]]
-            if rule.check_words is not None:
-                found.append([fingerprint_of(t, rule.check_words) for t in texts])
-            columns = [pa.array(np.array(f, dtype=np.uint64).view(np.int64)) for f in found]
+            found = np.empty((len(rule.columns), batch.num_rows), dtype=np.uint64)
+            for i, text in enumerate(texts):
+                found[0, i] = fingerprint_of(text, rule.words, rule.repeats)
+                if rule.check_words is not None:
+                    found[1, i] = fingerprint_of(text, rule.check_words)
+            columns = [pa.array(f) for f in found.view(np.int64)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), *columns], names=names)
 
     kept = docs.select(
@@ -287,7 +289,8 @@ def keep_one(docs: DataFrame, found: DataFrame, *, doc_id: str = "doc_id", text:
 
     The one with the smallest id stays, among equal ids the one with the smallest text hash, and of
     equal rows one. Null ids are larger than any other. Only what goes, and the kept rows that come
-    more than once, are joined with the documents.
+    more than once, are joined with the documents; each list is written first, so that Spark sends it
+    to all tasks while it is small.
     """
     found = stage(found.select("doc_id", "hash", "group"), "grouped")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("hash").alias("hash"))
@@ -299,10 +302,12 @@ def keep_one(docs: DataFrame, found: DataFrame, *, doc_id: str = "doc_id", text:
     listed = marked.groupBy(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).agg(
         F.max("first").alias("_first"), F.count(F.lit(1)).alias("_rows")
     )
-    listed = stage(listed.where("not _first or _rows > 1"), "gone-or-repeated")
+    listed = listed.where("not _first or _rows > 1")
+    other = stage(listed.select("_id", "_hash"), "gone-or-repeated")
+    repeated = stage(listed.where("_first").select("_id", "_hash"), "repeated")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     keyed = docs.select(row, F.col(doc_id).cast("long").alias("own_id"), F.xxhash64(text_of(text)).alias("own_hash"))
     same = F.col("own_id").eqNullSafe(F.col("_id")) & (F.col("own_hash") == F.col("_hash"))
-    once = keyed.join(listed, same, "left_anti")
-    again = keyed.join(listed.where("_first"), same, "left_semi").dropDuplicates(["own_id", "own_hash"])
+    once = keyed.join(other, same, "left_anti")
+    again = keyed.join(repeated, same, "left_semi").dropDuplicates(["own_id", "own_hash"])
     return once.unionByName(again).select("row.*")
