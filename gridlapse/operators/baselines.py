@@ -146,8 +146,8 @@ def spread(df: DataFrame, partitions: int = TREE_PARTITIONS) -> DataFrame:
     per partition, so rows are dealt by their content into a number of partitions that no session
     setting changes, and sorted there: the same rows and seed give the same forest.
     """
-    columns = [F.col(name) for name in df.columns]
-    return df.repartition(partitions, F.xxhash64(*columns)).sortWithinPartitions(*columns)
+    content = F.xxhash64(*df.columns)
+    return df.repartition(partitions, content).sortWithinPartitions(content)
 
 
 def predict_all(

@@ -247,7 +247,10 @@ def seed_stability(
     Each fit is a distributed job; the loop over seeds only submits them. Windows do not depend on
     the seed and are built once. A run leaves one metric row per model and split, and only those
     rows are brought back. ``done`` may hold metric rows of an earlier call: its seeds are skipped.
+    The linear learner doesn't use its seed, so several seeds of it are refused.
     """
+    if spec.learner == "linear" and len(set(seeds)) > 1:
+        raise ValueError("The linear learner is the same for every seed; choose gbt or forest")
     spark = dataset.sparkSession
     rows = [] if done is None else [tuple(r) for r in done.select(*METRIC_COLUMNS).collect()]
     finished = {row[METRIC_COLUMNS.index("seed")] for row in rows}

@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,8 +30,29 @@ def stage_directory(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Folder of the innermost :func:`staging` block.
+_BLOCK: ContextVar[str | None] = ContextVar("staging", default=None)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[str]:
+    """What is staged inside the block goes into one folder, which is deleted at its end.
+
+    Write results before the block ends: frames that read staged data are of no use after it. Without
+    such a block staged data stays until the owner of the checkpoint folder removes it.
+    """
+    path = f"{stage_directory(spark)}/staging-{uuid.uuid4().hex}"
+    token = _BLOCK.set(path)
+    try:
+        yield path
+    finally:
+        _BLOCK.reset(token)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
-    path = f"{stage_directory(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_BLOCK.get() or stage_directory(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

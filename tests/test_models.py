@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -225,11 +227,14 @@ def test_ensemble_report_of_sequence_members(spark):
 def test_seed_stability_and_resuming(spark):
     data = dataset(spark, 2, 80)
     holdout = features.build_features(frames.wavy(spark, 1, 50))
-    report = forecast.seed_stability(data, holdout, SPEC, seeds=(42, 7), trees=3)
+    with pytest.raises(ValueError, match="every seed"):
+        forecast.seed_stability(data, holdout, SPEC, seeds=(42, 7), trees=3)
+    seeded = replace(SPEC, learner="forest")
+    report = forecast.seed_stability(data, holdout, seeded, seeds=(42, 7), trees=3)
     assert report.metrics.count() == 2 * (3 + 3)
     assert [r["seed"] for r in report.per_seed.collect()] == [7, 42]
     assert report.summary.count() == 4
     assert report.winners.first()["seeds"] == 2
-    again = forecast.seed_stability(data, holdout, SPEC, seeds=(42, 7, 21), trees=3, done=report.metrics)
+    again = forecast.seed_stability(data, holdout, seeded, seeds=(42, 7, 21), trees=3, done=report.metrics)
     assert again.per_seed.count() == 3
     assert report.metrics.exceptAll(again.metrics).count() == 0

@@ -1,12 +1,16 @@
 """Situations in which rows, cells or members could be lost or mixed."""
 
 import math
+import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridlapse.functions import expressions
 from gridlapse.operators import baselines, evaluate, lifecycle, rollup
 from gridlapse.plans import skew
+from gridlapse.plans.stage import stage, staging
+from gridlapse.schema import COLLECTION_EVENTS_SCHEMA, INSTANCE_EVENTS_SCHEMA
 from gridlapse.sources import readers
 
 
@@ -99,3 +103,36 @@ def test_forest_does_not_depend_on_the_shuffle_partitions(spark):
         assert spread.rdd.getNumPartitions() == baselines.TREE_PARTITIONS
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert sums[0] == sums[1]
+
+
+def test_staged_data_goes_with_its_block(spark):
+    with staging(spark) as folder:
+        kept = stage(spark.range(5), "numbers")
+        assert kept.count() == 5 and all(folder in f for f in kept.inputFiles())
+        local = folder.removeprefix("file:")
+        assert os.path.isdir(local)
+    assert not os.path.exists(local)
+    assert folder not in stage(spark.range(2)).inputFiles()[0]
+
+
+def test_scoped_trace_leaves_out_other_events_before_aggregating(spark):
+    tasks = spark.createDataFrame([("a", 1, 0)], "cell string, collection_id long, instance_index long")
+    tasks = tasks.withColumn("collection_type", F.lit(None).cast("long"))
+    collections = spark.createDataFrame([], COLLECTION_EVENTS_SCHEMA)
+    instances = spark.createDataFrame([], INSTANCE_EVENTS_SCHEMA)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [
+            lifecycle.with_lifecycles(tasks, collections, instances, scoped=scoped, hot_share=None)
+            ._jdf.queryExecution().optimizedPlan().toString()
+            for scoped in (False, True)
+        ]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [plan.count("LeftSemi") for plan in plans] == [0, 2]
+    lines = plans[1].splitlines()
+    depth = {i: len(line) - len(line.lstrip(" :+-")) for i, line in enumerate(lines)}
+    for i in [i for i, line in enumerate(lines) if "LeftSemi" in line]:
+        above = [k for k in range(i) if depth[k] < depth[i] and "min(CASE" in lines[k]]
+        assert above, "the events are aggregated before the semi-join"

@@ -807,6 +807,13 @@ def fit_and_score(t: Trace) -> DataFrame:
     return baselines.holdout_benchmark(metrics)
 
 
+@query
+def score_simple_models(t: Trace) -> DataFrame:
+    """The whole path of fitting and scoring, for the models that SQL can follow."""
+    metrics = baselines.fit_and_score(dataset(t), LABEL, models=SIMPLE_MODELS)
+    return metrics.select("model", "split", "sample_count", "mae", "rmse", "mape", "smape", "r2")
+
+
 @query
 def sequence_regressor(t: Trace) -> DataFrame:
     data = dataset(t)
@@ -826,7 +833,7 @@ def score_holdout(t: Trace) -> DataFrame:
 @query
 def seed_stability(t: Trace) -> DataFrame:
     develop, holdout = _holdout_parts(t)
-    spec = forecast.SequenceSpec(features=tuple(feature_set("legacy")))
-    report = forecast.seed_stability(develop, holdout, spec, trees=20)
+    spec = forecast.SequenceSpec(features=tuple(feature_set("legacy")), learner="gbt")
+    report = forecast.seed_stability(develop, holdout, spec)
     return report.per_seed
 

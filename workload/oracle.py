@@ -732,6 +732,8 @@ SELECT *, CAST(substr(pdu, 4, 1) AS BIGINT) AS seed,
 CTES["runs"] = _metrics("family, model, seed, split", "seeded")
 
 SQL["regression_metrics"] = f"SELECT model, split, sample_count, {r6s(*_FIVE)} FROM by_split"
+SQL["score_simple_models"] = f"""SELECT model, split, sample_count, {r6s(*_FIVE)} FROM by_split
+WHERE split IN ('val', 'test')"""
 SQL["metrics_long"] = "\nUNION ALL\n".join(
     f"SELECT model, seed, split, '{m}' AS metric, {r6(m, 'value')} FROM runs" for m in _FIVE
 )
