@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from gridlapse.operators.features import SplitRatios, build_features, chronological_split
 from gridlapse.operators.flex import flexibility_table, join_flex_features
 from gridlapse.operators.rollup import pdu_training_table
-from gridlapse.plans.blocks import Series
+from gridlapse.plans.blocks import BLOCK_WINDOWS, Series
 from gridlapse.plans.stage import stage
 from gridlapse.schema import WINDOW_US
 
@@ -23,10 +23,15 @@ def feature_table(
     machines: DataFrame,
     *,
     label: str = "measured_power_util",
-    series: Series = Series(),
+    series: Series | None = None,
     **scope,
 ) -> DataFrame:
-    """Raw tables to the 25-column feature table of a scope (see ``pdu_training_table``)."""
+    """Raw tables to the 25-column feature table of a scope (see ``pdu_training_table``).
+
+    By default a block of a series holds the same number of windows whatever their width.
+    """
+    if series is None:
+        series = Series(block_us=BLOCK_WINDOWS * scope.get("width_us", WINDOW_US))
     table = stage(pdu_training_table(power, usage, machines, **scope), "training-table")
     return stage(build_features(table, label, series), "features")
 
@@ -38,7 +43,7 @@ def training_dataset(
     *,
     label: str = "measured_power_util",
     ratios: SplitRatios = SplitRatios(),
-    series: Series = Series(),
+    series: Series | None = None,
     **scope,
 ) -> DataFrame:
     """Feature table with a chronological train / val / test tag."""

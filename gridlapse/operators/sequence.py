@@ -49,8 +49,10 @@ def sequence_windows(
         df = with_history(df)
     used = list(dict.fromkeys([*required, IS_TARGET]))
     carried = with_carry(df.select(*used), series, features, context_length)
-    windows = carried.withColumn("_rows", prior_rows(series, features, context_length))
-    windows = windows.where(F.col("_rows").isNotNull() & F.col(IS_TARGET))
+    windows = carried.withColumn("_past", prior_rows(series, features, context_length))
+    # Zero or one array per row: made once, where a filter and the columns after it would each make it anew.
+    full = F.filter(F.array("_past"), lambda rows: rows.isNotNull())
+    windows = windows.select("*", F.explode(full).alias("_rows")).where(F.col(IS_TARGET))
     context = F.transform(
         "_rows", lambda row: F.array(*[row[name].cast("double") for name in features])
     )

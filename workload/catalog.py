@@ -759,7 +759,7 @@ def stability_table(t: Trace) -> DataFrame:
 def training_dataset(t: Trace) -> DataFrame:
     """Raw tables to split features in one flow."""
     data = flows.training_dataset(
-        t.power, t.usage, t.machines, width_us=DAY, series=Series(block_us=400 * DAY)
+        t.power, t.usage, t.machines, width_us=DAY
     )
     return data.select(
         "cell", "pdu", "window_start", LABEL, "prev_measured_power_util", "cpu_per_machine", "split"
