@@ -82,6 +82,15 @@ def sequence_targets(
     )
 
 
+def common_rows(df: DataFrame, context_length: int = 12, *, series: Series = Series()) -> DataFrame:
+    """Rows that models with a context of this length score too: those with enough rows before them.
+
+    Score baselines on them, of a dataset or a holdout, to compare them with sequence models.
+    """
+    placed = with_position(df, series).where(F.col("_position") >= context_length)
+    return placed.select(*df.columns)
+
+
 def flatten_lags(windows: DataFrame, output: str = "features") -> DataFrame:
     """Context as one ML vector of context_length x features values, oldest row first."""
     return windows.withColumn(output, array_to_vector(F.flatten("context")))

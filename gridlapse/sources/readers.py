@@ -155,5 +155,14 @@ def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/data")
 
 
+def read_benchmark(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """A benchmark written by :func:`gridlapse.sources.writers.write_benchmark`, one row per run.
+
+    Without ``schema`` a column that is NULL in all runs is left out.
+    """
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.json(f"{path}/benchmark_json")
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(f"{path}/metadata")

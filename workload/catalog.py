@@ -588,6 +588,12 @@ def with_history(t: Trace) -> DataFrame:
     )
 
 
+@query
+def common_rows(t: Trace) -> DataFrame:
+    rows = sequence.common_rows(features.build_features(t.series), CONTEXT)
+    return rows.select("cell", "pdu", "window_start", LABEL, "prev_measured_power_util")
+
+
 @query
 def sequence_targets(t: Trace) -> DataFrame:
     return sequence.sequence_targets(

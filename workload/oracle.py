@@ -621,6 +621,8 @@ SQL["with_history"] = f"""SELECT cell, pdu, window_start, {r6('measured_power_ut
 FROM (SELECT *, {_past('total_cpu_usage', 12)} AS oldest, {_past('total_cpu_usage', 1)} AS newest
       FROM features) JOIN parts USING (window_start) WHERE rn > 12 AND split = 'test'"""
 
+SQL["common_rows"] = f"""SELECT cell, pdu, window_start, {r6s('measured_power_util', 'prev_measured_power_util')}
+FROM features WHERE rn > 12"""
 SQL["sequence_targets"] = f"""SELECT cell, pdu, window_start, {r6('prev_measured_power_util')}
 FROM features WHERE rn > 12"""
 
@@ -878,6 +880,7 @@ SQL["write_benchmark"] = f"""SELECT model,
 {', '.join(r6(f"max({m}) FILTER (split = '{s}')", f'{s}_{m}') for s, m in (
  ('val', 'mae'), ('val', 'rmse'), ('test', 'mae'), ('test', 'rmse'), ('test', 'r2')))}
 FROM by_split GROUP BY model"""
+SQL["read_benchmark"] = SQL["leaderboard"].partition("ORDER BY")[0]
 SQL["ranked_times"] = "SELECT window_start AS time_us, k AS time_rank FROM times"
 
 

@@ -15,7 +15,7 @@ from gridlapse.plans.stage import stage_directory
 from gridlapse.schema import CSV_HEADER_PREFIX, feature_set
 from gridlapse.sources import readers, writers
 from workload.adapters import DAY, Trace
-from workload.catalog import LABEL, SIMPLE_MODELS, built, dataset, placed, query
+from workload.catalog import LABEL, SIMPLE_MODELS, built, dataset, placed, query, runs
 
 FLEX_CSV = ("window_start", "window_index", "cell", "pdu", "task_count", "flex_cpu_ratio")
 
@@ -166,6 +166,14 @@ def write_benchmark(t: Trace) -> DataFrame:
     return stored.select("model", "val_mae", "val_rmse", "test_mae", "test_rmse", "test_r2")
 
 
+@query
+def read_benchmark(t: Trace) -> DataFrame:
+    path = folder(t, "runs")
+    table = evaluate.benchmark_table(runs(t))
+    writers.write_benchmark(table, path)
+    return readers.read_benchmark(t.spark, path, table.schema)
+
+
 @query
 def ranked_times(t: Trace) -> DataFrame:
     return features.ranked_times(t.series, block_us=3 * DAY)
