@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlapse.llm import crf, decontaminate, mixing, records, simhash
+from gridlapse.llm import crf, decontaminate, mixing, overlap, records, simhash
 from gridlapse.llm.common import fresh_folder, table
 
 #: The tokenizer of the last stage, and the id that ends a document.
@@ -26,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest id."""
-    return simhash.keep_one(docs, simhash.near_duplicates(docs, NEAR))
+    return simhash.keep_one(docs, overlap.join_near(docs, simhash.near_duplicates(docs, NEAR)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,11 +37,11 @@ STEP = 1 << 15
 SMALL = 24
 
 
-def fingerprint_of(text: bytes, words_each: int, repeats: bool = True) -> int:
-    """64-bit SimHash of a text's word shingles; ``repeats`` counts each as often as it comes, else once."""
+def shingle_hashes(text: bytes, words_each: int) -> np.ndarray:
+    """64-bit hashes of a text's word shingles, in their order; a text of fewer words is one shingle."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, dtype="<u8")
     joined = memoryview(b" ".join(words))
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -50,7 +50,14 @@ def fingerprint_of(text: bytes, words_each: int, repeats: bool = True) -> int:
     ends = ends[k - 1 :].tolist()
     starts = starts[:count].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends)), dtype="<u8", count=count)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends)), dtype="<u8", count=count)
+
+
+def fingerprint_of(text: bytes, words_each: int, repeats: bool = True) -> int:
+    """64-bit SimHash of a text's word shingles; ``repeats`` counts each as often as it comes, else once."""
+    hashes = shingle_hashes(text, words_each)
+    if not len(hashes):
+        return 0
     if not repeats:
         hashes = np.unique(hashes)
     ones = np.zeros(BITS, dtype=np.int64)
