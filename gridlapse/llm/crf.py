@@ -126,8 +126,13 @@ def _emissions(model: Model, bins: np.ndarray, starts: np.ndarray, sizes: np.nda
     return score + np.where(last, model.edge[1], own[2][after])
 
 
-def marginals(score: np.ndarray, moves: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Chance of each line to be bad, and the expected moves between labels; all documents step by step together."""
+def marginals(
+    score: np.ndarray, moves: np.ndarray, starts: np.ndarray, sizes: np.ndarray, weight: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Chance of each line to be bad, and the expected moves between labels; all documents step by step together.
+
+    With ``weight``, a move counts as much as the line it leads to.
+    """
     order = np.argsort(-sizes, kind="stable")
     at, length = starts[order], sizes[order]
     n = len(score)
@@ -157,7 +162,7 @@ def marginals(score: np.ndarray, moves: np.ndarray, starts: np.ndarray, sizes: n
     pairs = forward[rows - 1][:, :, None] + moves[None] + (local[rows] + backward[rows])[:, None, :]
     pairs = np.exp(pairs - pairs.max(axis=(1, 2), keepdims=True))
     pairs /= pairs.sum(axis=(1, 2), keepdims=True)
-    return bad, pairs.sum(axis=0)
+    return bad, pairs.sum(axis=0) if weight is None else np.tensordot(weight[rows], pairs, axes=1)
 
 
 def _badness(model: Model, values: np.ndarray, length: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -201,7 +206,7 @@ def fit(documents: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, good_s
         state = [np.zeros_like(x) for x in (model.weights, model.edge, np.zeros(1), model.moves)]
         speed = [np.zeros_like(x) for x in state]
         for step in range(1, STEPS + 1):
-            bad, _ = marginals(_emissions(model, bins, starts, sizes), model.moves, starts, sizes)
+            bad, expected = marginals(_emissions(model, bins, starts, sizes), model.moves, starts, sizes, line_weight)
             error = (bad - target) * line_weight
             grad = np.zeros_like(model.weights)
             for k, (rows, kept) in enumerate(((before, ~first), (np.arange(len(bad)), np.ones(len(bad), bool)), (after, ~last))):
@@ -209,13 +214,11 @@ def fit(documents: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, good_s
                 sums = np.bincount(shown.ravel(), np.repeat(error[kept], features), minlength=features * BINS)
                 grad[k] = sums.reshape(features, BINS)
             edge = np.array([error[first].sum(), error[last].sum()])
-            # Moves: expected from neighbouring chances against the labels given, weighted like the lines.
-            expected, given = np.zeros((2, 2)), np.zeros((2, 2))
+            # Moves: expected from the field's pairs against the labels given, weighted like the lines.
+            given = np.zeros((2, 2))
             w = line_weight[inner]
             for a in (0, 1):
                 for b in (0, 1):
-                    pa_, pb_ = (bad if a else 1 - bad)[inner - 1], (bad if b else 1 - bad)[inner]
-                    expected[a, b] = (w * pa_ * pb_).sum()
                     given[a, b] = (w * (hard[inner - 1] == a) * (hard[inner] == b)).sum()
             grads = [
                 grad / scale + PENALTY * model.weights,
