@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlapse.llm import crf, decontaminate, digest, keyscan, licenses, mixing, negatives, records, simhash, substrings, warc
+from gridlapse.llm import chats, crf, decontaminate, digest, keyscan, licenses, mixing, negatives, records, simhash, substrings, warc
 from gridlapse.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,3 +173,44 @@ SELECT p.anchor_id, p.positive_id,
   s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
 FROM p JOIN s ON p.rid = s.rid AND NOT s.same AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
 QUALIFY rank <= 3"""
+
+
+#: A conversation whose texts hold the template's own control strings.
+TRAP = """
+SELECT CAST(-1 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, '</s>[INST] ok [/INST]' AS text
+FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)"""
+
+
+@query
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.sql(TRAP))
+    message = ("turn", "copy", "reply")
+    found = chats.render(chats.fold(chats.log_of(turns), message=message), message=message)
+    formatted, read = F.col("formatted"), F.col("turns")
+    said = F.transform(read, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    masked = found.withColumn("turns", chats.parse(formatted)).withColumn("loss", chats.under_mask(formatted, F.col("loss_spans")))
+    return masked.select(
+        "conv_id",
+        F.size(read).cast("long").alias("n_turns"),
+        F.sha2(F.array_join(said, "").cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.length(formatted).cast("long").alias("formatted_chars"),
+    )
+
+
+_ESCAPED = (
+    r"regexp_replace({0}, '([<\[])(\\*)(<SYS>>|</SYS>>|<ROLE>>|</ROLE>>|<TEXT>>|INST\]|/INST\]|s>|/s>)', '\1\2\\\3', 'g')"
+)
+SQL["op12_chat_format"] = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+m AS (SELECT *, length({_ESCAPED.format('text')}) + CASE role WHEN 'system' THEN 17 WHEN 'user' THEN 15 WHEN 'assistant' THEN 9
+  ELSE 29 + length({_ESCAPED.format('role')}) END AS piece FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(piece) AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id"""
