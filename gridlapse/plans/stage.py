@@ -51,8 +51,13 @@ def staging(spark: SparkSession) -> Iterator[str]:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder in that of the innermost :func:`staging` block, or else in the shared one."""
+    return f"{_BLOCK.get() or stage_directory(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
-    path = f"{_BLOCK.get() or stage_directory(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
