@@ -8,11 +8,12 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridlapse.operators.evaluate import benchmark_table, leaderboard, regression_metrics
+from gridlapse.operators.trees import Forest, fit_forest
 from gridlapse.schema import BASELINE_FEATURES, require_columns
 
 FOREST_TREES = 200
@@ -24,17 +25,19 @@ _VECTOR = "_features"
 
 @dataclass(frozen=True)
 class Baseline:
-    """A fitted baseline: either a column expression or a Spark ML model over some columns."""
+    """A fitted baseline: a column expression, or a forest or Spark ML model over some columns."""
 
     name: str
     features: tuple[str, ...]
     expression: Column | None = None
-    model: Model | None = None
+    model: Model | Forest | None = None
 
     def predict(self, df: DataFrame, output: str = "prediction") -> DataFrame:
         require_columns(df, self.features, f"columns of {self.name}")
         if self.model is None:
             return df.withColumn(output, self.expression)
+        if isinstance(self.model, Forest):
+            return self.model.predict(df, output)
         scored = self.model.setPredictionCol(output).transform(_assemble(df, self.features))
         return scored.drop(_VECTOR)
 
@@ -122,31 +125,26 @@ def fit_baseline(name: str, train: DataFrame, label: str, seed: int = 42, **opti
         return _fit_linear(train, features, label, 0.0, name)
     if name == "ridge":
         return _fit_linear(train, features, label, options.get("alpha", RIDGE_ALPHA), name)
-    forest = RandomForestRegressor(
-        featuresCol=_VECTOR,
-        labelCol=label,
-        numTrees=options.get("trees", FOREST_TREES),
-        maxDepth=options.get("depth", FOREST_DEPTH),
-        featureSubsetStrategy="all",
-        maxMemoryInMB=options.get("node_memory_mb", 1024),
-        seed=seed,
+    forest = fit_forest(
+        train, features, label, trees=options.get("trees", FOREST_TREES), depth=options.get("depth", FOREST_DEPTH), seed=seed
     )
-    return Baseline(name, features, model=forest.fit(_assemble(train, features)))
+    return Baseline(name, features, model=forest)
 
 
-#: Partitions of the training rows of tree learners.
-TREE_PARTITIONS = 32
+#: Training rows of Spark's tree learners: so many in a partition, and the least number of partitions.
+TREE_ROWS, TREE_PARTITIONS = 250_000, 32
 
 
-def spread(df: DataFrame, partitions: int = TREE_PARTITIONS) -> DataFrame:
-    """Even partitions for tree learners: they are bound by CPU, not by reading.
+def spread(df: DataFrame) -> DataFrame:
+    """Even partitions for Spark's tree learners: they are bound by CPU, not by reading.
 
     Input read from files can come in few or uneven partitions, and each tree level waits for the
     slowest. One shuffle of the training rows buys many balanced passes. Bootstrap samples are drawn
-    per partition, so rows are dealt by their content into a number of partitions that no session
-    setting changes, and sorted there: the same rows and seed give the same forest.
+    per partition, so rows are dealt by their content into a number of partitions that follows from their number alone,
+    and sorted there: the same rows and seed give the same trees.
     """
     content = F.xxhash64(*df.columns)
+    partitions = max(TREE_PARTITIONS, -(-df.count() // TREE_ROWS))
     return df.repartition(partitions, content).sortWithinPartitions(content)
 
 
@@ -188,7 +186,6 @@ def fit_and_score(
     needed = list(dict.fromkeys([label, *[f for n in names for f in BASELINE_FEATURES[n]]]))
     data = require_columns(dataset, [*needed, "split"]).select("split", *needed)
     train = data.where(F.col("split") == "train")
-    train = spread(train) if "random_forest" in names else train
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         fitted = [fit_baseline(name, train, label, seed, **options) for name in names]

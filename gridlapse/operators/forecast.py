@@ -10,8 +10,6 @@ from pyspark.ml import Model
 from pyspark.ml.regression import (
     GBTRegressionModel,
     GBTRegressor,
-    LinearRegression,
-    LinearRegressionModel,
     RandomForestRegressionModel,
     RandomForestRegressor,
 )
@@ -29,6 +27,7 @@ from gridlapse.operators.evaluate import (
     stability_table,
     winner_counts,
 )
+from gridlapse.operators.lagged import LagModel, fit_lagged
 from gridlapse.operators.sequence import (
     IS_TARGET,
     Standardizer,
@@ -43,11 +42,9 @@ from gridlapse.plans.blocks import Series
 from gridlapse.schema import DEFAULT_SEEDS, METRICS, feature_set
 
 ANCHOR = "prev_measured_power_util"
-LOADERS = {
-    "linear": LinearRegressionModel,
-    "gbt": GBTRegressionModel,
-    "forest": RandomForestRegressionModel,
-}
+#: Learners; the linear one is fitted and scored without windows.
+LOADERS = {"linear": None, "gbt": GBTRegressionModel, "forest": RandomForestRegressionModel}
+PENALTY = 1e-6
 
 
 @dataclass(frozen=True)
@@ -81,15 +78,16 @@ class SequenceSpec:
     def prepare(self, df: DataFrame) -> DataFrame:
         return residual_target(df, self.label, ANCHOR) if self.residual else df
 
+    def rows(self, df: DataFrame, history: DataFrame | None = None) -> DataFrame:
+        """Target rows and those that only give context, told apart."""
+        return with_history(self.prepare(df), None if history is None else self.prepare(history))
+
     def windows(
         self, df: DataFrame, history: DataFrame | None, standardizer: Standardizer
     ) -> DataFrame:
         """Scaled, flattened windows of ``df``'s rows with the anchor of each target."""
-        rows = with_history(
-            self.prepare(df), None if history is None else self.prepare(history)
-        )
         raw = sequence_windows(
-            rows,
+            self.rows(df, history),
             self.features,
             self.target,
             self.context_length,
@@ -103,14 +101,28 @@ class SequenceSpec:
 class SequenceRegressor:
     spec: SequenceSpec
     standardizer: Standardizer
-    model: Model
+    model: Model | LagModel
 
     def predict(self, df: DataFrame, history: DataFrame | None = None) -> DataFrame:
         """(cell, pdu, window_start, y, prediction) in units of the label."""
+        if isinstance(self.model, LagModel):
+            return self.predict_rows(self.spec.rows(df, history))
         return self.predict_windows(self.spec.windows(df, history, self.standardizer))
 
+    def predict_rows(self, rows: DataFrame, *keep: str) -> DataFrame:
+        """Predictions of the linear learner for all target rows with enough rows before them."""
+        spec, scale = self.spec, self.standardizer
+        used = [*spec.series.keys, spec.series.order, spec.target, *spec.features, *keep, IS_TARGET]
+        numbers = rows.select(*dict.fromkeys([*used, *([ANCHOR] if spec.residual else [])]))
+        scored = self.model.score(numbers, scale.scaled_features(), spec.series).where(F.col(IS_TARGET))
+        return self._in_label(scored.withColumn("target", scale.scale_target(F.col(spec.target).cast("double"))), keep)
+
     def predict_windows(self, windows: DataFrame, *keep: str) -> DataFrame:
-        scored = self.model.transform(windows)
+        if isinstance(self.model, LagModel):
+            return self._in_label(windows.withColumn("prediction", self.model.of_vector("features")), keep)
+        return self._in_label(self.model.transform(windows), keep)
+
+    def _in_label(self, scored: DataFrame, keep: Sequence[str]) -> DataFrame:
         anchor = F.col(ANCHOR) if self.spec.residual else F.lit(0.0)
         return scored.select(
             *self.spec.series.keys,
@@ -121,9 +133,13 @@ class SequenceRegressor:
         )
 
     def save(self, path: str) -> None:
-        """Spark ML model plus a one-row JSON dataset with the spec and the standardizer."""
-        self.model.write().overwrite().save(f"{path}/model")
-        payload = json.dumps({"spec": asdict(self.spec), "standardizer": asdict(self.standardizer)})
+        """A one-row JSON dataset with the spec, the standardizer and a linear model; others are Spark ML models beside it."""
+        linear = isinstance(self.model, LagModel)
+        if not linear:
+            self.model.write().overwrite().save(f"{path}/model")
+        payload = json.dumps(
+            {"spec": asdict(self.spec), "standardizer": asdict(self.standardizer), "linear": asdict(self.model) if linear else None}
+        )
         SparkSession.getActiveSession().createDataFrame([(payload,)], "value string").coalesce(1).write.mode(
             "overwrite"
         ).text(f"{path}/settings")
@@ -137,13 +153,13 @@ class SequenceRegressor:
         settings["features"] = tuple(settings["features"])
         spec = SequenceSpec(**settings, series=Series(**series))
         standardizer = Standardizer.from_json(json.dumps(raw["standardizer"]))
+        if raw["linear"]:
+            return SequenceRegressor(spec, standardizer, LagModel(raw["linear"]["bias"], tuple(map(tuple, raw["linear"]["weights"]))))
         return SequenceRegressor(spec, standardizer, LOADERS[spec.learner].load(f"{path}/model"))
 
 
 def _learner(spec: SequenceSpec, seed: int):
     common = {"featuresCol": "features", "labelCol": "target"}
-    if spec.learner == "linear":
-        return LinearRegression(**common, solver="auto", regParam=1e-6, elasticNetParam=0.0)
     if spec.learner == "gbt":
         return GBTRegressor(**common, maxIter=20, maxDepth=4, subsamplingRate=0.8, seed=seed)
     return RandomForestRegressor(**common, numTrees=50, maxDepth=8, seed=seed)
@@ -155,8 +171,16 @@ def _training_windows(train: DataFrame, spec: SequenceSpec, standardizer: Standa
     Blocks that do not fit in memory go to disk.
     """
     windows = spec.windows(train, None, standardizer).select("features", "target")
-    windows = windows if spec.learner == "linear" else spread(windows)
-    return windows.persist(StorageLevel.MEMORY_AND_DISK)
+    return spread(windows).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def fit_linear(train: DataFrame, spec: SequenceSpec, standardizer: Standardizer) -> LagModel:
+    """Least squares over all windows of ``train``, from sums of lagged cross products."""
+    columns = [c.alias(f"x{i}") for i, c in enumerate(standardizer.scaled_features())]
+    target = standardizer.scale_target(F.col(spec.target).cast("double")).alias("target")
+    rows = spec.prepare(train).select(*spec.series.keys, spec.series.order, *columns, target)
+    names = [f"x{i}" for i in range(len(columns))]
+    return fit_lagged(rows, names, "target", spec.context_length, penalty=PENALTY, series=spec.series)
 
 
 def fit_scaling(train: DataFrame, spec: SequenceSpec) -> Standardizer:
@@ -171,6 +195,8 @@ def fit_sequence_regressor(
     train: DataFrame, spec: SequenceSpec = SequenceSpec(), seed: int = 42
 ) -> SequenceRegressor:
     standardizer = fit_scaling(train, spec)
+    if spec.learner == "linear":
+        return SequenceRegressor(spec, standardizer, fit_linear(train, spec, standardizer))
     windows = _training_windows(train, spec, standardizer)
     try:
         return SequenceRegressor(spec, standardizer, _learner(spec, seed).fit(windows))
@@ -178,17 +204,21 @@ def fit_sequence_regressor(
         windows.unpersist()
 
 
-def split_windows(dataset: DataFrame, spec: SequenceSpec, standardizer: Standardizer) -> DataFrame:
-    """Windows of the val and test rows, each with all earlier splits as history.
+def _split_rows(dataset: DataFrame, spec: SequenceSpec) -> DataFrame:
+    """All rows, tagged ``_split``; those of val and test are targets, each with all earlier splits as history.
 
     The splits follow each other in time, so the rows before a window are the same rows whether or
     not the later splits are present: one pass over the whole dataset serves both.
     """
     tagged = dataset.withColumnRenamed("split", "_split")
     rows = tagged.where(F.col("_split").isin("train", "val", "test"))
-    target = rows.withColumn(IS_TARGET, F.col("_split").isin("val", "test"))
+    return spec.prepare(rows.withColumn(IS_TARGET, F.col("_split").isin("val", "test")))
+
+
+def split_windows(dataset: DataFrame, spec: SequenceSpec, standardizer: Standardizer) -> DataFrame:
+    """Windows of the val and test rows, each with all earlier splits as history."""
     raw = sequence_windows(
-        spec.prepare(target),
+        _split_rows(dataset, spec),
         spec.features,
         spec.target,
         spec.context_length,
@@ -201,6 +231,9 @@ def split_windows(dataset: DataFrame, spec: SequenceSpec, standardizer: Standard
 
 def score_splits(regressor: SequenceRegressor, dataset: DataFrame) -> DataFrame:
     """Predictions for the val and test rows of a split dataset."""
+    if isinstance(regressor.model, LagModel):
+        rows = _split_rows(dataset, regressor.spec)
+        return regressor.predict_rows(rows, "_split").withColumnRenamed("_split", "split")
     windows = split_windows(dataset, regressor.spec, regressor.standardizer)
     return regressor.predict_windows(windows, "split")
 
@@ -260,12 +293,13 @@ def seed_stability(
     try:
         if wanted:
             scaling = fit_scaling(train, spec)
-            on_train = _training_windows(train, spec, scaling)
+            on_train = None if spec.learner == "linear" else _training_windows(train, spec, scaling)
             unseen = spec.windows(holdout, None, scaling).withColumn("split", F.lit("holdout"))
             scored = split_windows(dataset, spec, scaling).unionByName(unseen)
-            kept = [on_train, scored.persist(StorageLevel.MEMORY_AND_DISK)]
+            kept = [df for df in (on_train, scored.persist(StorageLevel.MEMORY_AND_DISK)) if df is not None]
         for seed in wanted:
-            model = SequenceRegressor(spec, scaling, _learner(spec, seed).fit(on_train))
+            fitted = fit_linear(train, spec, scaling) if on_train is None else _learner(spec, seed).fit(on_train)
+            model = SequenceRegressor(spec, scaling, fitted)
             deep = regression_metrics(model.predict_windows(scored, "split"), ["split"])
             deep = deep.withColumns(
                 {"family": F.lit("deep"), "model": F.lit(name), "seed": F.lit(seed)}

@@ -118,6 +118,11 @@ class Standardizer:
     def invert_target(self, scaled: Column) -> Column:
         return scaled * F.lit(self.target_std) + F.lit(self.target_mean)
 
+    def scaled_features(self) -> list[Column]:
+        """Each feature column of a row, scaled."""
+        parts = zip(self.features, self.means, self.stds)
+        return [(F.col(f).cast("double") - F.lit(mean)) / F.lit(std) for f, mean, std in parts]
+
     def scale_context(self, context: Column) -> Column:
         def scale_row(row: Column) -> Column:
             return F.array(

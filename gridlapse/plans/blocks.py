@@ -133,6 +133,12 @@ def lag_over_blocks(series: Series, column: str) -> Column:
     return F.when(series.named(), F.when(F.col(ROW) == 1, carried).otherwise(inside))
 
 
+def earlier_row(series: Series, column: str, steps: int) -> Column:
+    """Value ``steps`` rows before, NULL where the series has fewer; expects a frame from :func:`with_carry`."""
+    carried = F.try_element_at(F.col(CARRY), (F.col(ROW) - 1 - F.lit(steps)).cast("int"))[column]
+    return F.when(F.col(ROW) > steps, F.lag(column, steps).over(series.by_block())).otherwise(carried)
+
+
 def prior_rows(series: Series, columns: Sequence[str], depth: int) -> Column:
     """Array of the ``depth`` rows before this one, NULL where the series has fewer."""
     frame = series.by_block().rowsBetween(-depth, -1)

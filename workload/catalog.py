@@ -795,8 +795,9 @@ def ridge(t: Trace) -> DataFrame:
 def random_forest(t: Trace) -> DataFrame:
     data = dataset(t)
     train = data.where(F.col("split") == "train")
-    model = baselines.fit_baseline("random_forest", baselines.spread(train), LABEL, seed=42)
-    return baselines.predict_all([model], data, LABEL, ["cell", "pdu", "window_start", "split"])
+    model = baselines.fit_baseline("random_forest", train, LABEL, seed=42)
+    scored = baselines.predict_all([model], data, LABEL, ["cell", "pdu", "window_start", "split"])
+    return scored.withColumn("prediction", F.round("prediction", 4))
 
 
 def _holdout_parts(t: Trace) -> tuple[DataFrame, DataFrame]:
@@ -825,7 +826,8 @@ def sequence_regressor(t: Trace) -> DataFrame:
     data = dataset(t)
     train = data.where(F.col("split") == "train").drop("split")
     spec = forecast.SequenceSpec(features=tuple(feature_set("legacy")))
-    return forecast.score_splits(forecast.fit_sequence_regressor(train, spec), data)
+    scored = forecast.score_splits(forecast.fit_sequence_regressor(train, spec), data)
+    return scored.withColumn("prediction", F.round("prediction", 4))
 
 
 @query

@@ -6,6 +6,7 @@ and pulled into a query when it mentions them.
 
 from __future__ import annotations
 
+import math
 import re
 
 from workload.adapters import VIEWS, duckdb_text
@@ -797,20 +798,22 @@ CASE WHEN k < floor(n * CAST(0.70 AS DOUBLE)) THEN 'train'
 FROM day_table d JOIN day_times t ON d.window_start = t.window_start"""
 
 
+CTES["split_features"] = "SELECT * FROM features JOIN parts USING (window_start)"
+
 # --- linear models by successive orthogonalization -------------------------------------------
 # Centre all columns on the train rows, then subtract from the label and from the later features
 # their projection on each feature in turn. What is left of the label is the residual of the least
 # squares fit. Ridge is the same fit with one extra row per feature: that feature 1, the rest 0.
 
 
-def _least_squares(prefix: str, ridge: bool) -> str:
+def _least_squares(prefix: str, ridge: bool, source: str = "split_features") -> str:
     centred = ", ".join(f"f.{c} - m.m{i} AS x{i}" for i, c in enumerate(_LEGACY))
     means = ", ".join(f"avg({c}) AS m{i}" for i, c in enumerate(_LEGACY))
-    CTES[f"{prefix}_mean"] = f"SELECT avg(measured_power_util) AS my, {means} FROM train_rows"
+    CTES[f"{prefix}_mean"] = f"SELECT avg(measured_power_util) AS my, {means} FROM {source} WHERE split = 'train'"
     rows = f"""
-SELECT f.cell, f.pdu, f.window_start, p.split, f.measured_power_util AS y,
-       p.split = 'train' AS fitted, f.measured_power_util - m.my AS r, {centred}
-FROM features f JOIN parts p ON f.window_start = p.window_start CROSS JOIN {prefix}_mean m"""
+SELECT f.cell, f.pdu, f.window_start, f.split, f.measured_power_util AS y,
+       f.split = 'train' AS fitted, f.measured_power_util - m.my AS r, {centred}
+FROM {source} f CROSS JOIN {prefix}_mean m"""
     if ridge:
         for i in range(len(_LEGACY)):
             unit = ", ".join("1.0" if k == i else "0.0" for k in range(len(_LEGACY)))
@@ -837,6 +840,170 @@ FROM {prefix}_{j} CROSS JOIN {prefix}_slope_{j}"""
 SQL["linear_regression"] = _least_squares("linear_regression", False)
 SQL["ridge"] = _least_squares("ridge", True)
 
+# --- least squares on the rows before a row ---------------------------------------------------
+# All windows are written out, and normal equations of their standardized numbers are solved by elimination, a column a step.
+
+_DEPTH = 12
+
+
+def _lagged_fit(prefix: str, rows: str) -> None:
+    """``{prefix}_line``: means, deviations and weights of the numbers in a window of ``rows``, for the residual target."""
+    numbers = f"[{', '.join(f'CAST({c} AS DOUBLE)' for c in _LEGACY)}]"
+    CTES[f"{prefix}_windows"] = f"""
+SELECT *, flatten(list({numbers}) OVER (PARTITION BY cell, pdu ORDER BY window_start
+  ROWS BETWEEN {_DEPTH} PRECEDING AND 1 PRECEDING)) AS x,
+  row_number() OVER (PARTITION BY cell, pdu ORDER BY window_start) AS place FROM {rows}"""
+    CTES[f"{prefix}_fitted"] = f"""
+SELECT row_number() OVER () AS t, list_append(x, measured_power_util - prev_measured_power_util) AS x
+FROM {prefix}_windows WHERE split = 'train' AND place > {_DEPTH}"""
+    size = _DEPTH * len(_LEGACY)
+    CTES[f"{prefix}_cells"] = f"""
+SELECT t, unnest(generate_series(1, {size + 1})) AS i, unnest(x) AS v FROM {prefix}_fitted"""
+    CTES[f"{prefix}_scale"] = f"""
+SELECT i, avg(v) AS m, stddev_pop(v) AS s FROM {prefix}_cells GROUP BY i"""
+    CTES[f"{prefix}_scaled"] = f"""
+SELECT t, c.i, CASE WHEN s > 1e-9 THEN (v - m) / s ELSE 0 END AS v FROM {prefix}_cells c JOIN {prefix}_scale s ON c.i = s.i"""
+    CTES[f"{prefix}_gram"] = f"""
+SELECT a.i, b.i AS j, avg(a.v * b.v) + CASE WHEN a.i = b.i THEN CASE WHEN s > 1e-9 THEN 1e-6 ELSE 1 END ELSE 0 END AS v
+FROM {prefix}_scaled a JOIN {prefix}_scaled b ON a.t = b.t JOIN {prefix}_scale s ON a.i = s.i
+WHERE a.i <= {size} GROUP BY a.i, b.i, s.s"""
+    CTES[f"{prefix}_steps"] = f"""
+WITH RECURSIVE steps AS (
+  SELECT 1 AS k, list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM {prefix}_gram GROUP BY i)
+  UNION ALL
+  SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / m[k][k])
+    ELSE list_transform(r, lambda v, j: v - r[k] / m[k][k] * m[k][j]) END)
+  FROM steps WHERE k <= {size})
+SELECT m FROM steps WHERE k = {size + 1}"""
+    CTES[f"{prefix}_line"] = f"""
+SELECT list(s.m ORDER BY s.i) FILTER (s.i <= {size}) AS means,
+  list(CASE WHEN s.s > 1e-9 THEN b.m[s.i][{size + 1}] / s.s ELSE 0 END ORDER BY s.i) FILTER (s.i <= {size}) AS weights,
+  max(s.m) FILTER (s.i = {size + 1}) AS target_mean, max(s.s) FILTER (s.i = {size + 1}) AS target_std
+FROM {prefix}_scale s CROSS JOIN {prefix}_steps b"""
+    KEPT.update(f"{prefix}_{name}" for name in ("windows", "fitted", "scale", "scaled", "gram", "line"))
+
+
+#: The line's prediction for a row with its window ``x``.
+_FROM_LINE = """prev_measured_power_util + target_mean + target_std * list_dot_product(weights, list_transform(x, lambda v, i: v - means[i]))"""
+
+_lagged_fit("lagged", "split_features")
+SQL["sequence_regressor"] = f"""SELECT cell, pdu, window_start, split, {r6('measured_power_util', 'y')},
+round({_FROM_LINE}, 4) AS prediction
+FROM lagged_windows CROSS JOIN lagged_line WHERE split <> 'train' AND place > {_DEPTH}"""
+
+# One cell's own split times; the other cell is unseen.
+for _name in ("times", "cuts", "parts"):
+    CTES[f"own_{_name}"] = CTES[_name].replace("FROM times", "FROM own_times").replace("JOIN cuts", "JOIN own_cuts").replace(
+        "FROM series_us", "FROM series_us WHERE cell = 'c0'"
+    )
+CTES["own_features"] = """
+SELECT f.*, p.split FROM features f JOIN own_parts p ON f.window_start = p.window_start WHERE cell = 'c0'
+UNION ALL SELECT *, 'holdout' FROM features WHERE cell = 'c1'"""
+_lagged_fit("own_lagged", "own_features")
+CTES["holdout_scored"] = f"""
+SELECT 'holdout' AS split, measured_power_util AS y, {_FROM_LINE} AS prediction
+FROM own_lagged_windows CROSS JOIN own_lagged_line WHERE split = 'holdout' AND place > {_DEPTH}"""
+CTES["holdout_metrics"] = _metrics("split", "holdout_scored")
+SQL["score_holdout"] = f"SELECT split, sample_count, {r6s(*_FIVE)} FROM holdout_metrics"
+
+# --- random forest, grown a level at a time ---------------------------------------------------
+# Bootstrap weights follow from a hash of the row's content, sums are whole numbers, and ties go to the first
+# feature and the lowest cut, so that the trees are the same ones.
+
+
+def _forest(prefix: str, rows: str, trees: int = 200, depth: int = 8, bins: int = 32, seed: int = 42) -> None:
+    """``{prefix}_forest``: prediction of every row of ``rows``, by a forest fitted on its train rows."""
+    p, prime = prefix, (1 << 31) - 1
+    CTES[f"{p}_rows"] = f"SELECT row_number() OVER () AS r, * FROM {rows}"
+    CTES[f"{p}_scale"] = f"""
+SELECT pow(2.0, 26 - ceil(log2(max(abs(measured_power_util))))) AS k FROM {p}_rows WHERE split = 'train'"""
+    fixed = ", ".join(f"CAST(floor(CAST({c} AS DOUBLE) * 65536) AS BIGINT)" for c in ("measured_power_util", *_LEGACY))
+    CTES[f"{p}_keyed"] = f"""
+SELECT r, CAST(floor(measured_power_util * k + 0.5) AS BIGINT) AS y,
+  CAST('0x' || substr(md5(concat_ws('|', {fixed})), 1, 15) AS BIGINT) % {prime} AS key
+FROM {p}_rows CROSS JOIN {p}_scale WHERE split = 'train'"""
+    numbers = ", ".join(f"CAST({c} AS DOUBLE)" for c in _LEGACY)
+    CTES[f"{p}_long"] = f"""
+SELECT r, unnest(generate_series(1, {len(_LEGACY)})) AS f, unnest([{numbers}]) AS x FROM {p}_rows"""
+    CTES[f"{p}_sample"] = f"SELECT r FROM {p}_keyed QUALIFY row_number() OVER (ORDER BY key) <= 20000"
+    CTES[f"{p}_placed"] = f"""
+SELECT f, x, row_number() OVER (PARTITION BY f ORDER BY x) - 1 AS spot, count(*) OVER (PARTITION BY f) AS n,
+  dense_rank() OVER (PARTITION BY f ORDER BY x) AS nth FROM {p}_long l JOIN {p}_sample s ON l.r = s.r"""
+    CTES[f"{p}_spread"] = f"SELECT *, max(nth) OVER (PARTITION BY f) AS different FROM {p}_placed"
+    CTES[f"{p}_cuts"] = f"""
+SELECT DISTINCT f, x FROM {p}_spread WHERE CASE WHEN different > {bins}
+  THEN list_contains(list_transform(generate_series(1, {bins - 1}), lambda k: k * n // {bins}), spot) ELSE nth < different END"""
+    CTES[f"{p}_bins"] = f"""
+SELECT l.r, l.f, count(c.x) AS b FROM {p}_long l LEFT JOIN {p}_cuts c ON l.f = c.f AND c.x < l.x GROUP BY l.r, l.f"""
+    steps, total, term = [], 0.0, math.exp(-1)
+    for k in range(1, 9):
+        total += term
+        steps.append(int(total * prime))
+        term /= k
+    CTES[f"{p}_trees"] = f"""
+SELECT t, 1 + CAST('0x' || substr(md5('{seed}|' || t), 1, 7) AS BIGINT) AS a,
+  CAST('0x' || substr(md5('{seed}|' || t), 8, 7) AS BIGINT) AS b FROM generate_series(0, {trees - 1}) g(t)"""
+    counted = " + ".join(f"CAST((key * a + b) % {prime} >= {step} AS BIGINT)" for step in steps)
+    CTES[f"{p}_in_0"] = f"""
+SELECT * FROM (SELECT t, r, y, 1 AS node, {counted} AS w FROM {p}_keyed CROSS JOIN {p}_trees) WHERE w > 0"""
+    for level in range(depth + 1):
+        CTES[f"{p}_node_{level}"] = f"""
+SELECT t, node, CAST(sum(w) AS BIGINT) AS n, CAST(sum(w * y) AS BIGINT) AS s FROM {p}_in_{level} GROUP BY t, node"""
+        if level == depth:
+            break
+        CTES[f"{p}_sums_{level}"] = f"""
+SELECT i.t, i.node, b.f, b.b, sum(w) AS n, sum(w * y) AS s FROM {p}_in_{level} i JOIN {p}_bins b ON i.r = b.r GROUP BY i.t, i.node, b.f, b.b"""
+        CTES[f"{p}_low_{level}"] = f"""
+SELECT t, node, f, b, CAST(sum(n) OVER up AS BIGINT) AS ln, CAST(sum(s) OVER up AS BIGINT) AS ls
+FROM {p}_sums_{level} WINDOW up AS (PARTITION BY t, node, f ORDER BY b)"""
+        CTES[f"{p}_good_{level}"] = f"""
+SELECT l.*, n, s, CAST(ls AS DOUBLE) * ls / ln + CAST(s - ls AS DOUBLE) * (s - ls) / (n - ln) AS good
+FROM {p}_low_{level} l JOIN {p}_node_{level} o ON l.t = o.t AND l.node = o.node WHERE n > ln"""
+        CTES[f"{p}_split_{level}"] = f"""
+SELECT t, node, f, b FROM (SELECT * FROM {p}_good_{level}
+  QUALIFY row_number() OVER (PARTITION BY t, node ORDER BY good DESC, f, b) = 1)
+WHERE good > CAST(s AS DOUBLE) * s / n * {1 + 1e-12!r}"""
+        CTES[f"{p}_in_{level + 1}"] = f"""
+SELECT i.t, i.r, i.y, 2 * i.node + CAST(b.b > x.b AS INTEGER) AS node, i.w
+FROM {p}_in_{level} i JOIN {p}_split_{level} x ON i.t = x.t AND i.node = x.node JOIN {p}_bins b ON i.r = b.r AND x.f = b.f"""
+        KEPT.update({f"{p}_in_{level + 1}", f"{p}_split_{level}", f"{p}_node_{level}"})
+    CTES[f"{p}_at_0"] = f"SELECT r, t, 1 AS node, TRUE AS open FROM {p}_rows CROSS JOIN {p}_trees"
+    for level in range(depth):
+        CTES[f"{p}_at_{level + 1}"] = f"""
+SELECT a.r, a.t, CASE WHEN x.f IS NULL THEN a.node ELSE 2 * a.node + CAST(b.b > x.b AS INTEGER) END AS node, x.f IS NOT NULL AS open
+FROM {p}_at_{level} a LEFT JOIN {p}_split_{level} x ON a.open AND a.t = x.t AND a.node = x.node LEFT JOIN {p}_bins b ON a.r = b.r AND b.f = x.f"""
+    CTES[f"{p}_nodes"] = " UNION ALL ".join(f"SELECT * FROM {p}_node_{level}" for level in range(depth + 1))
+    CTES[f"{p}_values"] = f"""
+SELECT a.r, avg(CAST(s AS DOUBLE) / n / k) AS prediction
+FROM {p}_at_{depth} a JOIN {p}_nodes o ON a.t = o.t AND a.node = o.node CROSS JOIN {p}_scale GROUP BY a.r"""
+    CTES[f"{p}_forest"] = f"SELECT w.*, v.prediction FROM {p}_rows w JOIN {p}_values v ON w.r = v.r"
+    KEPT.update({f"{p}_{name}" for name in ("rows", "keyed", "long", "cuts", "bins", "in_0")} | {f"{p}_node_{depth}"})
+
+
+_forest("trees", "split_features")
+SQL["random_forest"] = f"""SELECT cell, pdu, window_start, split, {r6('measured_power_util', 'y')}, round(prediction, 4) AS prediction,
+'random_forest' AS model, 'baseline' AS family, CAST(42 AS BIGINT) AS seed FROM trees_forest"""
+
+# --- all baselines, fitted on one cell ---------------------------------------------------------
+
+_forest("own_trees", "own_features")
+for _model, _alpha in (("linear_regression", False), ("ridge", True)):
+    _least_squares(f"own_{_model}", _alpha, "own_features")
+CTES["own_slope"] = """
+SELECT regr_slope(measured_power_util, total_cpu_usage) AS slope,
+       regr_intercept(measured_power_util, total_cpu_usage) AS intercept FROM own_features WHERE split = 'train'"""
+CTES["own_scored"] = f"""
+SELECT 'persistence' AS model, split, measured_power_util AS y, prev_measured_power_util AS prediction FROM own_features
+UNION ALL SELECT 'moving_average', split, measured_power_util, (prev_measured_power_util + prev_total_cpu_usage) / 2 FROM own_features
+UNION ALL SELECT 'cpu_heuristic', split, measured_power_util, intercept + slope * total_cpu_usage FROM own_features CROSS JOIN own_slope
+UNION ALL SELECT 'linear_regression', split, y, y - r FROM own_linear_regression_{len(_LEGACY)} WHERE cell IS NOT NULL
+UNION ALL SELECT 'ridge', split, y, y - r FROM own_ridge_{len(_LEGACY)} WHERE cell IS NOT NULL
+UNION ALL SELECT 'random_forest', split, measured_power_util, prediction FROM own_trees_forest"""
+CTES["own_by_split"] = _metrics("model, split", "own_scored")
+SQL["fit_and_score"] = f"""SELECT 'baseline' AS family, model, CAST(42 AS BIGINT) AS seed,
+{', '.join(r6(f"max({m}) FILTER (split = '{s}')", f'{s}_{m}') for s in ('val', 'test', 'holdout') for m in _FIVE)}
+FROM own_by_split GROUP BY model"""
+
 # --- readers and writers ---------------------------------------------------------------------
 
 SQL["read_frame"] = f"""SELECT window_start, cell, pdu, {r6s(*_POWER)}, {', '.join(_COUNTS)},
