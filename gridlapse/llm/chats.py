@@ -14,7 +14,7 @@ already, so that taking one away gives back the text; other backslashes stay as
 Events meet by message, so a long conversation's are spread over many tasks; only its final messages
 come together, as they are one row of the result. Texts are never cut.
 
-Defined results: a null text is the empty one, a null role the empty one, whose messages are written like those of
+A message has the last role that any of its events names. Defined results: a null text is the empty one, a null role the empty one, whose messages are written like those of
 any unknown role. Null ids are one conversation. Null sequences and message numbers come first. Events of equal
 sequence are taken in the order of :data:`EVENTS`, then by text. A message that never starts is left out, and a
 conversation without messages too; equal rows are events of their own. Further columns are left out.

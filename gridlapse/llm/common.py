@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlapse.plans.stage import stage, stage_directory
+from gridlapse.plans.stage import fresh_path, stage
 
 #: One word: a run without the ASCII white space space, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,14 +30,23 @@ def text_of(column: str) -> Column:
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one that the session names."""
-    return f"{stage_directory(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new shared folder, with the scheme that Hadoop gives it, so that files of tasks and Spark's go to one place.
+
+    A folder named without a scheme is where Hadoop's default says. On a cluster that must not be a local disk;
+    one that is mounted everywhere is named with ``file:``.
+    """
+    path = fresh_path(spark, name)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+    if whole.startswith("file:") and not path.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{path} is on a local disk; name a shared folder with its scheme in spark.checkpoint.dir")
+    return whole
 
 
 def store(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a shared folder, for tasks that read or write files of their own format."""
-    if uri.startswith("/"):
-        return pafs.LocalFileSystem(), uri
+    if uri.startswith(("/", "file:")):
+        return pafs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
     return pafs.FileSystem.from_uri(uri)
 
 

@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -35,7 +36,7 @@ TOP = 10
 #: Shares are of this whole; so many occurrences are added to each term's.
 WHOLE, ADDED = 1_000_000_000, 2
 #: Terms that a task holds before it writes its counts, and bytes of a text that are cut into words at a time.
-HELD, PIECE = 200_000, 1 << 20
+HELD, PIECE = 400_000, 1 << 20
 DIGEST_BITS = 64
 #: Lower-cases A-Z and turns every ASCII byte that isn't a letter into a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -57,51 +58,48 @@ def words(text: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def digest_of(term: bytes, bits: int) -> int:
-    """The first ``bits`` bits of the term's hash, as a signed 64-bit number."""
-    return (xxhash.xxh64_intdigest(term) >> (64 - bits)) - (1 << bits - 1)
+def digests_of(terms: list[bytes], bits: int) -> np.ndarray:
+    """The first ``bits`` bits of each term's hash, as signed 64-bit numbers."""
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, terms), dtype=np.uint64, count=len(terms))
+    return (hashes >> np.uint64(64 - bits)).view(np.int64)
 
 
-COUNTS = "kind int, lang string, source string, digest long, n long, docs long, low string, high string"
+def strings(terms: list[bytes]) -> pa.Array:
+    return pa.array(terms, pa.binary()).cast(pa.string())
+
+
+COUNTS = "kind int, lang string, source string, digest long, n long, docs long, term string"
 
 
 def counted(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", bits: int = DIGEST_BITS) -> DataFrame:
-    """Three kinds of rows. 0: a group that occurs. 1: a group's term with its counts so far. 2: a digest's
-    smallest and largest term so far."""
+    """Three kinds of rows. 0: a group that occurs. 1: a group's term with its counts so far. 2: a term of any
+    group, with its digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in COUNTS.split(", ")]
-        types = [pa.int32(), pa.string(), pa.string(), *[pa.int64()] * 3, pa.string(), pa.string()]
         occurrences: dict[tuple, Counter] = {}
         documents: dict[tuple, Counter] = {}
 
+        def rows(kind: int, size: int, **columns: pa.Array) -> pa.RecordBatch:
+            nothing = {"kind": pa.repeat(pa.scalar(kind, pa.int32()), size)}
+            for name in names[1:]:
+                nothing[name] = pa.nulls(size, pa.int64() if name in ("digest", "n", "docs") else pa.string())
+            return pa.RecordBatch.from_pydict(nothing | columns)
+
         def made() -> Iterator[pa.RecordBatch]:
-            digests: dict[bytes, int] = {}
-            ends: dict[int, tuple[bytes, bytes]] = {}
-            for terms in documents.values():
-                for term in terms:
-                    if term not in digests:
-                        found = digests[term] = digest_of(term, bits)
-                        low, high = ends.get(found, (term, term))
-                        ends[found] = min(low, term), max(high, term)
+            every = list(set().union(*documents.values()))
+            digests = digests_of(every, bits)
+            known = dict(zip(every, digests.tolist()))
             for group, terms in documents.items():
-                n = occurrences[group]
-                size = len(terms)
-                columns = [
-                    [1] * size + [0],
-                    [group[0]] * (size + 1),
-                    [group[1]] * (size + 1),
-                    [digests[t] for t in terms] + [None],
-                    [n[t] for t in terms] + [0],
-                    [*terms.values(), 0],
-                    [*terms, None],
-                    [None] * (size + 1),
-                ]
-                yield pa.RecordBatch.from_arrays([_array(c, t) for c, t in zip(columns, types)], names=names)
-            size = len(ends)
-            columns = [[2] * size, [None] * size, [None] * size, list(ends), [0] * size, [0] * size, *map(list, zip(*ends.values()))]
-            if size:
-                yield pa.RecordBatch.from_arrays([_array(c, t) for c, t in zip(columns, types)], names=names)
+                size, listed = len(terms), list(terms)
+                named = {c: pa.repeat(pa.scalar(v, pa.string()), size + 1) for c, v in zip(GROUP, group)}
+                yield rows(0, 1, **{c: v[:1] for c, v in named.items()})
+                found = np.fromiter(map(known.__getitem__, listed), dtype=np.int64, count=size)
+                n = np.fromiter(map(occurrences[group].__getitem__, listed), dtype=np.int64, count=size)
+                docs = np.fromiter(terms.values(), dtype=np.int64, count=size)
+                columns = {"digest": pa.array(found), "n": pa.array(n), "docs": pa.array(docs), "term": strings(listed)}
+                yield rows(1, size, **{c: v[:size] for c, v in named.items()}, **columns)
+            yield rows(2, len(every), digest=pa.array(digests), term=strings(every))
             occurrences.clear()
             documents.clear()
 
@@ -123,12 +121,6 @@ def counted(docs: DataFrame, *, text: str = "text", lang: str = "lang", source:
     return kept.mapInArrow(run, COUNTS)
 
 
-def _array(values: list, kind: pa.DataType) -> pa.Array:
-    if kind == pa.string() and values and any(isinstance(v, bytes) for v in (values[0], values[-1])):
-        return pa.array(values, pa.binary()).cast(pa.string())
-    return pa.array(values, kind)
-
-
 def _named(df: DataFrame, suffix: str, *columns: str) -> DataFrame:
     """``df`` with the given columns renamed, so that a join has no column twice."""
     return df.withColumnsRenamed({c: f"{c}_{suffix}" for c in columns})
@@ -153,11 +145,11 @@ def term_counts(parts: DataFrame, documents: int = DOCUMENTS) -> tuple[DataFrame
     frequent = stage(frequent.select("lang", "digest"), "frequent-digests")
     wanted = _named(frequent.select("digest").distinct(), "w", "digest")
     ends = parts.where("kind = 2").join(wanted, _same("w", "digest"), "left_semi")
-    ends = stage(ends.groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high")), "digest-strings")
+    ends = stage(ends.groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high")), "digest-strings")
     shared = _named(stage(ends.where("low < high").select("digest"), "shared-digests"), "x", "digest")
 
     alone = plain.join(shared, _same("x", "digest"), "left_anti").withColumn("own", F.lit(""))
-    split = counts.join(shared, _same("x", "digest"), "left_semi").withColumn("own", F.col("low"))
+    split = counts.join(shared, _same("x", "digest"), "left_semi").withColumn("own", F.col("term"))
     split = split.groupBy(*GROUP, "digest", "own").agg(*sums)
     every = alone.unionByName(split)
     kept = every.groupBy(*TERM).agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= documents)

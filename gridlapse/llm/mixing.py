@@ -81,8 +81,12 @@ def sized(docs: DataFrame, seed: int = 0, *, doc_id: str = "doc_id", text: str =
         word_count(text).alias("size"),
         row_key(doc_id, text, source).alias("row_key"),
     )
-    random = F.substring(F.md5(F.concat(F.lit(f"{seed}|"), "row_key")), 1, 13)
-    return named.withColumn("key", F.conv(random, 16, 10).cast("long"))
+    return named.withColumn("key", random_key("row_key", seed))
+
+
+def random_key(row_key: str, seed: int) -> Column:
+    """A hash-random number of ``KEY_BITS`` bits from a row's key."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), row_key)), 1, 13), 16, 10).cast("long")
 
 
 def mix(
@@ -96,7 +100,8 @@ def mix(
     """One row per document: what its source gets and the words taken from it.
 
     ``epochs`` times the whole document is taken, and ``extra`` words more; ``taken`` is the sum. The
-    taken words of a source add up to its target, rounded down. Null texts have size 0. Equal rows share
+    taken words of a source add up to its target, rounded down. Null texts have size 0; a very long text is one
+    document like others, and without documents there are no rows. Equal rows share
     a key; which of them is cut doesn't matter. A rerun, on other partitions too, gives the same rows.
     """
     rows = stage(sized(docs, seed, **columns), "sizes")
@@ -129,6 +134,7 @@ def mix(
         "doc_id",
         "source",
         "size",
+        "key",
         "row_key",
         "source_size",
         "target",
@@ -144,25 +150,46 @@ def first_words(text: str, count: Column) -> Column:
     return F.array_join(F.slice(pieces, 1, F.greatest(count, F.lit(0)).cast("int")), "")
 
 
-def mixed_documents(docs: DataFrame, mixed: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, mixed: DataFrame, *, seed: int = 0, doc_id: str = "doc_id", text: str = "text", source: str = "source"
+) -> DataFrame:
     """The mix itself, in the columns of ``docs``: a row for each epoch of a document, and one for its extra words.
 
     A document whose extra words are all of it is one more whole row; one that the budget cuts ends
     after the last word taken. Rows that the mix takes nothing from are gone, and so are rows
-    without words.
+    without words. Without documents there are no rows.
+
+    Texts aren't shuffled. What a source takes follows from its number of epochs and from the key where its budget
+    ends: documents below that key are taken once more, and only equal rows that share it meet.
     """
-    # Equal rows are one here and share what they were given.
-    taken = mixed.where("taken > 0").groupBy(F.col("row_key").alias("taken_key")).agg(
-        F.sum("epochs").alias("epochs"), F.sum("extra").alias("extra"), F.min("size").alias("size")
+    place = F.struct("key", "row_key")
+    ends = mixed.groupBy(F.col("source").alias("of_source")).agg(
+        F.max("epochs").alias("epochs"), F.max(F.when(F.col("extra") > 0, place)).alias("end")
     )
+    ends = stage(ends, "source-ends")
+    shared = mixed.groupBy(F.col("row_key").alias("of_key")).agg(F.sum("taken").alias("words"))
+    ends = ends.join(shared, F.col("end.row_key") == F.col("of_key"), "left").drop("of_key")
+    ends = stage(ends, "source-cuts")
+
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    keyed = docs.select(row, F.col(text).alias("body"), row_key(doc_id, text, source).alias("own_key"))
-    one = F.row_number().over(Window.partitionBy("own_key").orderBy(F.lit(0)))
-    ranked = keyed.join(taken, F.col("own_key") == F.col("taken_key")).withColumn("one", one).where("one = 1")
-    words = F.col("epochs") * F.col("size") + F.col("extra")
-    whole = F.floor(words / F.col("size"))
-    cut = (words - whole * F.col("size")).cast("int")
-    copies = F.concat(F.array_repeat(F.lit(-1), whole.cast("int")), F.when(cut > 0, F.array(cut)).otherwise(F.array().cast("array<int>")))
-    spread = ranked.select("row", "body", F.explode(copies).alias("cut"))
+    keyed = docs.select(
+        row,
+        F.col(text).alias("body"),
+        word_count(text).alias("size"),
+        F.col(source).cast("string").alias("own_source"),
+        row_key(doc_id, text, source).alias("own_key"),
+    ).where("size > 0")
+    keyed = keyed.join(ends, F.col("own_source").eqNullSafe(F.col("of_source")))
+    own = F.struct(random_key("own_key", seed).alias("key"), F.col("own_key").alias("row_key"))
+    keyed = keyed.withColumn("own", own).withColumn("at_end", F.coalesce(F.col("own") == F.col("end"), F.lit(False)))
+    copies = F.col("epochs") + F.coalesce(F.col("own") < F.col("end"), F.lit(False)).cast("long")
+    # Every row of a text of many copies is below the end, above it, or one of those that share what is left there.
+    below = keyed.where("not at_end").withColumn("words", copies * F.col("size"))
+    last = keyed.where("at_end").dropDuplicates(["own_key"])
+    taken = below.select("row", "body", "size", "words").unionByName(last.select("row", "body", "size", "words"))
+    whole = F.floor(F.col("words") / F.col("size"))
+    cut = (F.col("words") - whole * F.col("size")).cast("int")
+    pieces = F.concat(F.array_repeat(F.lit(-1), whole.cast("int")), F.when(cut > 0, F.array(cut)).otherwise(F.array().cast("array<int>")))
+    spread = taken.select("row", "body", F.explode(pieces).alias("cut"))
     kept = F.when(F.col("cut") < 0, F.col("body")).otherwise(first_words("body", F.col("cut")))
     return spread.select(*[kept.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
