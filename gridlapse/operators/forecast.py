@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from dataclasses import asdict, dataclass
 
 from pyspark.ml import Model
@@ -39,6 +41,7 @@ from gridlapse.operators.sequence import (
     with_history,
 )
 from gridlapse.plans.blocks import Series
+from gridlapse.plans.stage import path_exists
 from gridlapse.schema import DEFAULT_SEEDS, METRICS, feature_set
 
 ANCHOR = "prev_measured_power_util"
@@ -264,6 +267,40 @@ class StabilityReport:
 METRIC_COLUMNS = ("family", "model", "seed", "split", "sample_count", *METRICS)
 
 
+METRIC_SCHEMA = "family string, model string, seed long, split string, sample_count long, " + ", ".join(f"{m} double" for m in METRICS)
+
+
+def _stored_seeds(spark: SparkSession, store: str | None) -> list[tuple]:
+    """Metric rows of the seeds that an earlier call finished."""
+    if store is None or not path_exists(spark, store):
+        return []
+    return [tuple(r) for r in spark.read.schema(METRIC_SCHEMA).parquet(f"{store}/seed-*").collect()]
+
+
+def _each_seed(spark: SparkSession, wanted: Sequence[int], run: Callable[[int], list[tuple]], parallel: int) -> list[tuple]:
+    """Rows of all seeds, each worked on in a scheduler pool of its own, ``parallel`` at a time.
+
+    A seed that fails doesn't stop the others; its error is raised when they are done.
+    """
+
+    def in_pool(seed: int) -> list[tuple]:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"seed-{seed}")
+        return run(seed)
+
+    with ThreadPoolExecutor(max_workers=max(1, parallel)) as threads:
+        # What is staged inside a block goes there from the threads, too.
+        work = [threads.submit(copy_context().run, in_pool, seed) for seed in wanted]
+    rows, errors = [], []
+    for seed, done in zip(wanted, work):
+        if done.exception() is None:
+            rows += done.result()
+        else:
+            errors.append((seed, done.exception()))
+    if errors:
+        raise RuntimeError(f"Seeds {[seed for seed, _ in errors]} failed; the others are finished") from errors[0][1]
+    return rows
+
+
 def seed_stability(
     dataset: DataFrame,
     holdout: DataFrame,
@@ -272,22 +309,28 @@ def seed_stability(
     seeds: Sequence[int] = DEFAULT_SEEDS,
     baselines: Sequence[str] = ("random_forest",),
     done: DataFrame | None = None,
+    store: str | None = None,
+    parallel: int = 2,
     name: str = "sequence",
     **options,
 ) -> StabilityReport:
     """Repeat fit and evaluation per seed and summarize.
 
-    Each fit is a distributed job; the loop over seeds only submits them. Windows do not depend on
+    Each fit is a distributed job; ``parallel`` threads submit those of as many seeds at a time, each to a pool of its
+    own, which a session with FAIR scheduling shares evenly. Windows do not depend on
     the seed and are built once. A run leaves one metric row per model and split, and only those
-    rows are brought back. ``done`` may hold metric rows of an earlier call: its seeds are skipped.
+    rows are brought back. With ``store``, a folder, they are written as each seed ends, and
+    seeds found there are skipped; so are those of ``done``, metric rows of an earlier call.
     The linear learner doesn't use its seed, so several seeds of it are refused.
     """
     if spec.learner == "linear" and len(set(seeds)) > 1:
         raise ValueError("The linear learner is the same for every seed; choose gbt or forest")
     spark = dataset.sparkSession
     rows = [] if done is None else [tuple(r) for r in done.select(*METRIC_COLUMNS).collect()]
+    known = {row[METRIC_COLUMNS.index("seed")] for row in rows}
+    rows += [row for row in _stored_seeds(spark, store) if row[METRIC_COLUMNS.index("seed")] not in known and row[METRIC_COLUMNS.index("seed")] in seeds]
     finished = {row[METRIC_COLUMNS.index("seed")] for row in rows}
-    wanted = [seed for seed in seeds if seed not in finished]
+    wanted = [seed for seed in dict.fromkeys(seeds) if seed not in finished]
     train = dataset.where(F.col("split") == "train").drop("split")
     kept = []
     try:
@@ -297,7 +340,8 @@ def seed_stability(
             unseen = spec.windows(holdout, None, scaling).withColumn("split", F.lit("holdout"))
             scored = split_windows(dataset, spec, scaling).unionByName(unseen)
             kept = [df for df in (on_train, scored.persist(StorageLevel.MEMORY_AND_DISK)) if df is not None]
-        for seed in wanted:
+
+        def run(seed: int) -> list[tuple]:
             fitted = fit_linear(train, spec, scaling) if on_train is None else _learner(spec, seed).fit(on_train)
             model = SequenceRegressor(spec, scaling, fitted)
             deep = regression_metrics(model.predict_windows(scored, "split"), ["split"])
@@ -307,15 +351,16 @@ def seed_stability(
             plain = fit_and_score(
                 dataset, spec.label, holdout=holdout, models=baselines, seed=seed, **options
             )
-            both = deep.select(*METRIC_COLUMNS).unionByName(plain.select(*METRIC_COLUMNS))
-            rows += [tuple(r) for r in both.collect()]
+            found = [tuple(r) for r in deep.select(*METRIC_COLUMNS).unionByName(plain.select(*METRIC_COLUMNS)).collect()]
+            if store is not None:
+                spark.createDataFrame(found, METRIC_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{store}/seed-{seed}")
+            return found
+
+        rows += _each_seed(spark, wanted, run, parallel)
     finally:
         for df in kept:
             df.unpersist()
-    schema = "family string, model string, seed long, split string, sample_count long, " + ", ".join(
-        f"{m} double" for m in METRICS
-    )
-    metrics = spark.createDataFrame(rows, schema)
+    metrics = spark.createDataFrame(rows, METRIC_SCHEMA)
     on_holdout = metrics.where(F.col("split") == "holdout")
     return StabilityReport(
         metrics,

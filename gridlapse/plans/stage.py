@@ -56,6 +56,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{_BLOCK.get() or stage_directory(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from gridlapse.schema import (
     POWER_TRACE_SCHEMA,
     contract_type,
 )
+from gridlapse.sources.versions import current
 
 
 _UNFIT = "_unfit_line"
@@ -41,20 +43,45 @@ def read_frame(spark: SparkSession, path: str, schema: T.StructType | None = Non
     raise ValueError(f"Cannot read {suffix!r} files, only .parquet and .csv")
 
 
-def _parsed_lines(
-    spark: SparkSession, path: str, header_prefix: str
-) -> tuple[DataFrame, list[str]] | None:
-    lines = spark.read.text(path)
-    header = lines.where(F.col("value").startswith(header_prefix)).first()
-    if header is None:
+def _is_header(prefix: str) -> Column:
+    """A line that starts with the prefix, or names its columns in another order."""
+    fields = F.transform(F.split("value", ","), F.trim)
+    named = F.lit(True)
+    for name in prefix.split(","):
+        if name.strip():
+            named = named & F.array_contains(fields, name.strip())
+    return F.col("value").startswith(prefix) | named
+
+
+def _lines(spark: SparkSession, path: str, header_prefix: str) -> tuple[DataFrame, list[str]] | None:
+    """Every filled line with its file, its file's header and whether it stands before it; and the different headers.
+
+    A file without a header gets the only one there is. A line's place is that of its split in the file, then its place in the split.
+    """
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("line")).alias("at"),
+    )
+    found = lines.where(_is_header(header_prefix))
+    first = found.groupBy(F.col("file").alias("of_file")).agg(F.min(F.struct("at", F.trim("value").alias("text"))).alias("head"))
+    headers = sorted(r[0] for r in first.select("head.text").distinct().collect())
+    if not headers:
         return None
-    names = [name.strip() for name in header[0].strip().split(",")]
+    missing = F.raise_error(F.concat(F.lit("No header in "), F.col("file"), F.lit(", and files differ in theirs")))
+    own = F.coalesce("head.text", F.lit(headers[0]) if len(headers) == 1 else missing.cast("string"))
+    placed = lines.join(first, F.col("file") == F.col("of_file"), "left")
+    return placed.where((F.trim("value") != "") & ~_is_header(header_prefix)).select(
+        "value", "file", own.alias("header"), (F.col("at") < F.col("head.at")).alias("before")
+    ), headers
+
+
+def _parsed(lines: DataFrame, header: str) -> tuple[DataFrame, list[str]]:
+    """Lines of the files with one header as text columns; ``_UNFIT`` is the line if it has not the header's number of fields."""
+    names = [name.strip() for name in header.split(",")]
     text_schema = ", ".join(f"`{name}` string" for name in names) + f", {_UNFIT} string"
-    filled = lines.where(F.trim("value") != "")
-    data = filled.where(~F.col("value").startswith(header_prefix)).select(
-        F.from_csv("value", text_schema, {"columnNameOfCorruptRecord": _UNFIT}).alias("_row")
-    )
-    return data.select("_row.*"), names
+    row = F.from_csv("value", text_schema, {"columnNameOfCorruptRecord": _UNFIT})
+    return lines.where(F.col("header") == header).select(row.alias("_row"), "file", "before").select("_row.*", "file", "before"), names
 
 
 def _typed(name: str) -> Column:
@@ -66,9 +93,10 @@ def _typed(name: str) -> Column:
     return F.col(name).try_cast(kind)
 
 
-def _is_data_row() -> Column:
-    """A line with the header's number of fields; any other is preamble."""
-    return F.col(_UNFIT).isNull()
+def _is_preamble(first: str) -> Column:
+    """A line before its file's header, or in a file without one a line that isn't a row, nor begins like one."""
+    unfit = F.col(_UNFIT).isNotNull()
+    return F.coalesce("before", unfit & _typed(first).isNull())
 
 
 def _present(value: Column, name: str) -> Column:
@@ -79,28 +107,40 @@ def _present(value: Column, name: str) -> Column:
 def read_csv_with_preamble(
     spark: SparkSession, path: str, header_prefix: str = CSV_HEADER_PREFIX
 ) -> DataFrame:
-    """CSV whose header may come after some lines of other text.
+    """CSV whose header may come after some lines of other text, in each file after its own and with its own columns.
 
-    A file read in splits has no reliable line order, so nothing is skipped by position: preamble is
-    what has not the header's number of fields. A data line whose window start or index does not
-    parse fails while running, so no row is lost unseen. Without such a header it is a plain CSV.
+    What stands before a file's header is preamble. Files without one, as a split export has, are read with the only header
+    there is; there, a line is preamble if it has another number of fields and doesn't begin with the
+    first column's value. Any other line that is cut short, or whose window start or index does not
+    parse, fails while running, so no row is lost unseen. A column that some files lack is NULL
+    there. Without any header it is a plain CSV.
     """
-    parsed = _parsed_lines(spark, path, header_prefix)
-    if parsed is None:
+    found = _lines(spark, path, header_prefix)
+    if found is None:
         return read_frame(spark, path)
-    lines, names = parsed
+    lines, headers = found
     keys = ("window_start", "window_index")
-    return lines.where(_is_data_row()).select(
-        *[(_present(_typed(name), name) if name in keys else _typed(name)).alias(name) for name in names]
-    )
+    tables = []
+    for header in headers:
+        rows, names = _parsed(lines, header)
+        cut = F.raise_error(F.concat(F.lit("A line has not the header's fields: "), F.col(_UNFIT), F.lit(" in "), F.col("file")))
+        whole = rows.where(~_is_preamble(names[0])).withColumn(
+            names[0], F.when(F.col(_UNFIT).isNull(), F.col(names[0])).otherwise(cut.cast("string"))
+        )
+        cells = [_present(_typed(name), name) if name in keys or name == names[0] else _typed(name) for name in names]
+        tables.append(whole.select(*[c.alias(name) for c, name in zip(cells, names)]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
 def dropped_preamble_lines(
     spark: SparkSession, path: str, header_prefix: str = CSV_HEADER_PREFIX
 ) -> int:
-    """How many lines besides the header :func:`read_csv_with_preamble` leaves out."""
-    parsed = _parsed_lines(spark, path, header_prefix)
-    return 0 if parsed is None else parsed[0].where(~_is_data_row()).count()
+    """How many lines besides headers :func:`read_csv_with_preamble` leaves out."""
+    found = _lines(spark, path, header_prefix)
+    if found is None:
+        return 0
+    parsed = [_parsed(found[0], header) for header in found[1]]
+    return sum(rows.where(_is_preamble(names[0])).count() for rows, names in parsed)
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
@@ -152,7 +192,7 @@ def read_machine_map(spark: SparkSession, path: str) -> DataFrame:
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     """A dataset version written by :func:`gridlapse.sources.writers.write_dataset`."""
-    return spark.read.parquet(f"{path}/data")
+    return spark.read.parquet(f"{current(spark, path)}/data")
 
 
 def read_benchmark(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -161,8 +201,8 @@ def read_benchmark(spark: SparkSession, path: str, schema: T.StructType | None =
     Without ``schema`` a column that is NULL in all runs is left out.
     """
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.json(f"{path}/benchmark_json")
+    return reader.json(f"{current(spark, path)}/benchmark_json")
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(f"{path}/metadata")
+    return spark.read.json(f"{current(spark, path)}/metadata")

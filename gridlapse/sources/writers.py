@@ -1,6 +1,6 @@
 """Versioned dataset writers.
 
-Each writer stores Parquet first and then counts what it stored, which reads file footers only
+Each writer makes a new version folder and publishes it when all is written (see :mod:`gridlapse.sources.versions`). It stores Parquet first and then counts what it stored, which reads file footers only
 instead of running the plan a second time. Metadata is a one-row JSON dataset next to it, so it
 lands on the same shared storage as the data.
 """
@@ -18,14 +18,15 @@ from gridlapse.operators.evaluate import leaderboard
 from gridlapse.operators.flex import added_flex_columns, join_flex_features
 from gridlapse.plans.stage import stage
 from gridlapse.schema import FLEX_WINDOW_COLUMNS, require_columns
+from gridlapse.sources.versions import new_version, publish
 
 _FLEX_NOT_FEATURES = {"window_index", "cell", "pdu", "window_start"}
 
 
-def _write_metadata(spark: SparkSession, path: str, metadata: dict) -> dict:
-    spark.createDataFrame([(json.dumps(metadata),)], "value string").coalesce(1).write.mode(
-        "overwrite"
-    ).text(f"{path}/metadata")
+def _publish(spark: SparkSession, path: str, folder: str, metadata: dict) -> dict:
+    """Add the metadata to a version and let readers have it."""
+    spark.createDataFrame([(json.dumps(metadata),)], "value string").coalesce(1).write.text(f"{folder}/metadata")
+    publish(spark, path, folder)
     return metadata
 
 
@@ -45,9 +46,7 @@ def _gathered(df: DataFrame, *keys: str) -> DataFrame:
 
 def _write_splits(df: DataFrame, path: str) -> None:
     gathered = _gathered(df, "split")
-    gathered.sortWithinPartitions("split", "cell", "pdu", "window_start").write.mode(
-        "overwrite"
-    ).partitionBy("split").parquet(path)
+    gathered.sortWithinPartitions("split", "cell", "pdu", "window_start").write.partitionBy("split").parquet(path)
 
 
 def write_dataset(
@@ -56,8 +55,9 @@ def write_dataset(
     """Feature table with splits, or as one ``full`` part when it has no ``split`` column."""
     chronological = "split" in df.columns
     columns = [name for name in df.columns if name != "split"]
-    _write_splits(df if chronological else df.withColumn("split", F.lit("full")), f"{path}/data")
-    counts = _counts(df.sparkSession, f"{path}/data")
+    folder = new_version(path)
+    _write_splits(df if chronological else df.withColumn("split", F.lit("full")), f"{folder}/data")
+    counts = _counts(df.sparkSession, f"{folder}/data")
     parts = ("train", "val", "test") if chronological else ("full",)
     metadata = {
         "version": version,
@@ -67,7 +67,7 @@ def write_dataset(
         **{f"{part}_rows": counts.get(part, 0) for part in parts},
         "columns": columns,
     }
-    return _write_metadata(df.sparkSession, path, metadata)
+    return _publish(df.sparkSession, path, folder, metadata)
 
 
 def write_flex_trace(
@@ -84,30 +84,31 @@ def write_flex_trace(
 
     Given as a function, the classification of the tasks runs once.
     """
-    spark = states.sparkSession
-    written = _gathered(states, "cell", "pdu").write.mode("overwrite").partitionBy("cell", "pdu")
-    written.parquet(f"{path}/task_trace")
+    spark, folder = states.sparkSession, new_version(path)
+    written = _gathered(states, "cell", "pdu").write.partitionBy("cell", "pdu")
+    written.parquet(f"{folder}/task_trace")
     if callable(windows):
-        windows = windows(spark.read.schema(states.schema).parquet(f"{path}/task_trace"))
-    written = _gathered(windows, "cell", "pdu").write.mode("overwrite").partitionBy("cell", "pdu")
-    written.parquet(f"{path}/flex_windows")
+        windows = windows(spark.read.schema(states.schema).parquet(f"{folder}/task_trace"))
+    written = _gathered(windows, "cell", "pdu").write.partitionBy("cell", "pdu")
+    written.parquet(f"{folder}/flex_windows")
     metadata = {
         "version": version,
         "rho": rho,
         "max_flex_scheduling_class": max_class,
         "require_batch_scheduler": require_batch_scheduler,
-        "task_rows": spark.read.parquet(f"{path}/task_trace").count(),
-        "window_rows": spark.read.parquet(f"{path}/flex_windows").count(),
+        "task_rows": spark.read.parquet(f"{folder}/task_trace").count(),
+        "window_rows": spark.read.parquet(f"{folder}/flex_windows").count(),
         "columns": windows.columns,
     }
-    return _write_metadata(spark, path, metadata)
+    return _publish(spark, path, folder, metadata)
 
 
 def write_flex_dataset(windows: DataFrame, path: str, version: str = "flex_windows_v1") -> dict:
     """Packaged flex windows, sorted by (window_start, cell, pdu) inside each file."""
     windows = with_utc_time(require_columns(windows, FLEX_WINDOW_COLUMNS))
-    target = f"{path}/flex_windows"
-    windows.sortWithinPartitions("window_start", "cell", "pdu").write.mode("overwrite").parquet(target)
+    folder = new_version(path)
+    target = f"{folder}/flex_windows"
+    windows.sortWithinPartitions("window_start", "cell", "pdu").write.parquet(target)
     stored = windows.sparkSession.read.parquet(target)
     facts = stored.agg(
         F.count(F.lit(1)).alias("rows"),
@@ -123,7 +124,7 @@ def write_flex_dataset(windows: DataFrame, path: str, version: str = "flex_windo
         "window_index_max": facts["high"],
         "columns": windows.columns,
     }
-    return _write_metadata(windows.sparkSession, path, metadata)
+    return _publish(windows.sparkSession, path, folder, metadata)
 
 
 def write_joined_dataset(
@@ -141,8 +142,9 @@ def write_joined_dataset(
     base = dataset if has_split else dataset.withColumn("split", F.lit("full"))
     base_columns = [name for name in base.columns if name != "split"]
     joined = join_flex_features(base, flex)
-    _write_splits(joined, f"{path}/data")
-    counts = _counts(spark, f"{path}/data")
+    folder = new_version(path)
+    _write_splits(joined, f"{folder}/data")
+    counts = _counts(spark, f"{folder}/data")
     measures = [name for name in flex.columns if name not in _FLEX_NOT_FEATURES]
     metadata = {
         "version": version,
@@ -153,7 +155,7 @@ def write_joined_dataset(
         "flex_columns": added_flex_columns(base_columns, measures),
         "split_counts": counts,
     }
-    return _write_metadata(spark, path, metadata)
+    return _publish(spark, path, folder, metadata)
 
 
 def write_benchmark(
@@ -165,9 +167,10 @@ def write_benchmark(
     """
     ordered = leaderboard(stage(benchmark, "benchmark"), split)
     single = ordered.coalesce(1)
-    single.write.mode("overwrite").csv(f"{path}/benchmark_csv", header=True)
-    single.write.mode("overwrite").json(f"{path}/benchmark_json")
+    folder = new_version(path)
+    single.write.csv(f"{folder}/benchmark_csv", header=True)
+    single.write.json(f"{folder}/benchmark_json")
     best = ordered.first()
     wanted = [*keys, *[f"{split}_{m}" for m in ("mae", "rmse", "r2")]]
     summary = {} if best is None else {name: best[name] for name in wanted if name in best}
-    return _write_metadata(benchmark.sparkSession, path, {"best": summary})
+    return _publish(benchmark.sparkSession, path, folder, {"best": summary})

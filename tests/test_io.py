@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridlapse.operators import baselines, features, flex
-from gridlapse.sources import readers, writers
+from gridlapse.sources import readers, versions, writers
 from tests import frames
 from tests.frames import W, at
 
@@ -33,6 +33,48 @@ def test_csv_with_and_without_preamble(spark, tmp_path, preamble):
     assert readers.dropped_preamble_lines(spark, path) == len(preamble)
 
 
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
+    folder = tmp_path / "exports.csv"
+    folder.mkdir()
+    write_text(folder / "a.csv", ["SELECT 1", HEADER, *LINES])
+    other = "window_start,window_index,pdu,cell,flex_cpu_ratio,machine_count"
+    write_text(folder / "b.csv", ["x,y", other, "1970-01-06 05:10:00 UTC,1502,pdu21,f,0.75,3"])
+    rows = readers.read_csv_with_preamble(spark, str(folder)).orderBy("window_index").collect()
+    assert [(r["pdu"], r["cell"], r["task_count"], r["flex_cpu_ratio"], r["machine_count"]) for r in rows] == [
+        ("pdu20", "f", 7, 0.25, None), ("pdu20", "f", None, 0.5, None), ("pdu21", "f", None, 0.75, 3)
+    ]
+    assert readers.dropped_preamble_lines(spark, str(folder)) == 2
+    write_text(folder / "c.csv", LINES)
+    with pytest.raises(Exception, match="No header in"):
+        readers.read_csv_with_preamble(spark, str(folder)).collect()
+
+
+def test_a_split_export_takes_the_only_header(spark, tmp_path):
+    folder = tmp_path / "export.csv"
+    folder.mkdir()
+    write_text(folder / "part-0.csv", ["SELECT t.window_start, count(*)", HEADER])
+    write_text(folder / "part-1.csv", ["FROM tasks", *LINES])
+    assert readers.read_csv_with_preamble(spark, str(folder)).count() == 2
+    assert readers.dropped_preamble_lines(spark, str(folder)) == 2
+
+
+@pytest.mark.parametrize("cut", ["1970-01-06 05:05:00 UTC,1501,f,pdu1", "1970-01-0", "1970-01-06 05:05:00 UTC,1501,f,pdu1,1,2,3"])
+def test_a_cut_line_is_not_lost(spark, tmp_path, cut):
+    path = write_text(tmp_path / "cut.csv", ["some words, one, two", HEADER, *LINES, cut])
+    with pytest.raises(Exception, match="has not the header's fields: .*cut.csv"):
+        readers.read_csv_with_preamble(spark, path).collect()
+    assert readers.dropped_preamble_lines(spark, path) == 1
+
+
+def test_a_cut_line_in_a_part_without_header(spark, tmp_path):
+    folder = tmp_path / "cut.csv"
+    folder.mkdir()
+    write_text(folder / "part-0.csv", [HEADER, *LINES])
+    write_text(folder / "part-1.csv", ["1970-01-06 05:05:00 UTC,1501,f,pdu1"])
+    with pytest.raises(Exception, match="has not the header's fields"):
+        readers.read_csv_with_preamble(spark, str(folder)).collect()
+
+
 def test_plain_csv_and_unknown_suffix(spark, tmp_path):
     path = write_text(tmp_path / "plain.csv", ["a,b", "1,x"])
     assert readers.read_csv_with_preamble(spark, path).first().asDict() == {"a": 1, "b": "x"}
@@ -68,7 +110,7 @@ def test_raw_tables_round_trip(spark, tmp_path):
 
 
 def metadata(spark, path):
-    return json.loads(spark.read.text(f"{path}/metadata").first()[0])
+    return json.loads(spark.read.text(f"{versions.current(spark, path)}/metadata").first()[0])
 
 
 def test_dataset_version(spark, tmp_path):
@@ -81,7 +123,7 @@ def test_dataset_version(spark, tmp_path):
     back = readers.read_dataset(spark, path)
     assert back.select(*data.columns).exceptAll(data).count() == 0
     assert readers.read_metadata(spark, path).first()["version"] == "v1"
-    assert sorted(p.rsplit("=")[-1] for p in glob.glob(f"{path}/data/split=*")) == ["test", "train", "val"]
+    assert sorted(p.rsplit("=")[-1] for p in glob.glob(f"{versions.current(spark, path)}/data/split=*")) == ["test", "train", "val"]
 
     full = writers.write_dataset(data.drop("split"), str(tmp_path / "full"), "holdout")
     assert full["split_mode"] == "full_only" and full["full_rows"] == 200
@@ -125,7 +167,33 @@ def test_benchmark_files(spark, tmp_path):
     metrics = baselines.fit_and_score(data, models=["persistence", "moving_average", "cpu_heuristic"])
     path = str(tmp_path / "bench")
     best = writers.write_benchmark(baselines.baseline_benchmark(metrics), path)
-    stored = spark.read.csv(f"{path}/benchmark_csv", header=True, inferSchema=True)
+    stored = spark.read.csv(f"{versions.current(spark, path)}/benchmark_csv", header=True, inferSchema=True)
     assert stored.count() == 3
     assert stored.first()["model"] == best["best"]["model"]
-    assert len(glob.glob(f"{path}/benchmark_json/*.json")) == 1
+    assert len(glob.glob(f"{versions.current(spark, path)}/benchmark_json/*.json")) == 1
+
+
+def test_a_killed_write_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    data = features.chronological_split(features.build_features(frames.wavy(spark, 1, 40)))
+    path = str(tmp_path / "v")
+    writers.write_dataset(data, path, "v1")
+    old = versions.current(spark, path)
+    for name in ("_write_splits", "_counts", "publish"):
+        with monkeypatch.context() as m:
+            m.setattr(writers, name, lambda *_: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                writers.write_dataset(data.limit(5), path, "v2")
+        assert versions.current(spark, path) == old
+        assert readers.read_dataset(spark, path).count() == 40 and metadata(spark, path)["version"] == "v1"
+    writers.write_dataset(data.where("split = 'test'"), path, "v3")
+    assert metadata(spark, path)["version"] == "v3" and readers.read_dataset(spark, path).count() == 6
+    assert len(versions.versions(spark, path)) == 4
+    assert old in versions.remove_superseded(spark, path)
+    assert versions.versions(spark, path) == [versions.current(spark, path)]
+    assert readers.read_dataset(spark, path).count() == 6
+
+
+def test_a_folder_without_versions_is_read_as_it_is(spark, tmp_path):
+    frames.wavy(spark, 1, 5).write.parquet(str(tmp_path / "old" / "data"))
+    assert readers.read_dataset(spark, str(tmp_path / "old")).count() == 5
+    assert versions.remove_superseded(spark, str(tmp_path / "old")) == []

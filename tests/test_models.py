@@ -238,3 +238,36 @@ def test_seed_stability_and_resuming(spark):
     again = forecast.seed_stability(data, holdout, seeded, seeds=(42, 7, 21), trees=3, done=report.metrics)
     assert again.per_seed.count() == 3
     assert report.metrics.exceptAll(again.metrics).count() == 0
+
+
+def test_a_failed_seed_leaves_the_others_finished(spark, tmp_path, monkeypatch):
+    data, holdout = dataset(spark, 2, 60), features.build_features(frames.wavy(spark, 1, 40))
+    spec, where = replace(SPEC, learner="forest", context_length=4), str(tmp_path / "seeds")
+    real, fitted = forecast._learner, []
+
+    def learner(spec, seed):
+        fitted.append(seed)
+        if seed == 21 and fitted.count(21) == 1:
+            raise ValueError("lost")
+        return real(spec, seed)
+
+    monkeypatch.setattr(forecast, "_learner", learner)
+    options = {"seeds": (42, 7, 21), "trees": 3, "store": where, "parallel": 3}
+    with pytest.raises(RuntimeError, match=r"Seeds \[21\] failed"):
+        forecast.seed_stability(data, holdout, spec, **options)
+    report = forecast.seed_stability(data, holdout, spec, **options)
+    assert sorted(fitted) == [7, 21, 21, 42]
+    assert report.metrics.count() == 3 * (3 + 3) and report.winners.first()["seeds"] == 3
+    alone = forecast.seed_stability(data, holdout, spec, seeds=(42, 7, 21), trees=3, parallel=1)
+    assert sorted(map(tuple, alone.metrics.collect())) == sorted(map(tuple, report.metrics.collect()))
+
+
+def test_ensemble_refuses_a_member_twice(spark):
+    rows = [("deep", "m", s, k, 1.0, float(s)) for k in (1, 2) for s in (7, 42)]
+    schema = "family string, model string, seed long, k int, y double, prediction double"
+    assert evaluate.ensemble_mean(spark.createDataFrame(rows, schema), ["k"]).count() == 2
+    twice = [*rows[:3], ("deep", "m", 7, 2, 1.0, 7.0)]  # key 2 has seed 7 twice and lacks 42
+    with pytest.raises(Exception, match="lacks an ensemble member"):
+        evaluate.ensemble_mean(spark.createDataFrame(twice, schema), ["k"]).collect()
+    plan = evaluate.ensemble_mean(spark.createDataFrame(rows, schema), ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gridlapse.operators import baselines, evaluate, features, flex
 from gridlapse.plans.stage import stage_directory
 from gridlapse.schema import CSV_HEADER_PREFIX, feature_set
-from gridlapse.sources import readers, writers
+from gridlapse.sources import readers, versions, writers
 from workload.adapters import DAY, Trace
 from workload.catalog import LABEL, SIMPLE_MODELS, built, dataset, placed, query, runs
 
@@ -162,7 +162,7 @@ def write_benchmark(t: Trace) -> DataFrame:
     fitted = [baselines.fit_baseline(name, train, LABEL) for name in SIMPLE_MODELS]
     metrics = evaluate.regression_metrics(baselines.predict_all(fitted, data, LABEL))
     writers.write_benchmark(evaluate.benchmark_table(metrics), path)
-    stored = t.spark.read.csv(f"{path}/benchmark_csv", header=True, inferSchema=True)
+    stored = t.spark.read.csv(f"{versions.current(t.spark, path)}/benchmark_csv", header=True, inferSchema=True)
     return stored.select("model", "val_mae", "val_rmse", "test_mae", "test_rmse", "test_r2")
 
 
