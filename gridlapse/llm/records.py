@@ -14,8 +14,9 @@ that itself holds framed records doesn't confuse a reader.
 
 Documents are dealt by ranges of ascending id. Each task sorts its range and writes one file under a
 name of its own; the manifest that counts is written when all have finished, so tasks may be lost and
-run again. A null text is the empty one and gives just the end id; null document ids come first; rows
-that repeat an id are ordered by text; further columns are not written.
+run again. A null text is the empty one and gives just the end id; null document ids come first. Rows
+that repeat an id are dealt to as many files as they need, ordered by the first 64 characters of their text, then its
+length, then its hash. Further columns are not written; without documents there is no file.
 """
 
 from __future__ import annotations
@@ -236,8 +237,10 @@ def write_records(
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *map(pa.array, rows[1:])], names=["part", "path", "records", "ids", "bytes"])
 
     kept = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    ordered = kept.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
-    return stage(ordered.mapInArrow(write, MANIFEST), "records-manifest")
+    # The last column tells equal rows apart, which may be many, so that a range can end between them.
+    order = [F.col("doc_id"), F.substring("text", 1, 64), F.length("text"), F.xxhash64("text"), F.col("row")]
+    ordered = kept.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(files, *order).sortWithinPartitions(*order)
+    return stage(ordered.drop("row").mapInArrow(write, MANIFEST), "records-manifest")
 
 
 def _index(path: str) -> np.ndarray:

@@ -64,6 +64,15 @@ def test_records_round_trip(spark):
     assert shuffled != [(r.doc_id, len(r.ids)) for r in records.read_shuffled(manifest, 5, 2).collect()]
 
 
+def test_a_repeated_id_fills_many_files(spark):
+    rows = [(5, prose(1, 20))] * 3000 + [(None, "")] * 500 + [(i, prose(i, 5)) for i in range(200)]
+    manifest = records.write_records(documents(spark, rows).repartition(6), public_tokenizers.path("word_bpe_49k.json"), end_id=2, files=8)
+    sizes = [r.records for r in manifest.collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 1500
+    starts = [(r.start, r.n_tokens) for r in records.read_records(manifest).orderBy("start").collect()]
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+
+
 def test_records_of_nothing(spark):
     manifest = records.write_records(documents(spark, []), PATH, end_id=2)
     assert records.read_records(manifest).count() == 0
