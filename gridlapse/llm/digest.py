@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlapse.llm.common import text_of
+from gridlapse.llm.common import stage, text_of
 
 BUCKETS = 256
 #: Score at which two digests count as not alike at all: twice what random codes give.
@@ -84,7 +84,7 @@ def likeness(a: str, b: str) -> float:
 
 
 def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id`` and ``fingerprint`` of every document; a null text is the empty one."""
+    """``doc_id`` and ``fingerprint`` of every document; a null text is the empty one. Without documents there are no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,18 +97,20 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
 
 def in_sequence(
     docs: DataFrame,
-    each: Callable[[Iterator[tuple[int | None, str, str]]], Iterator[pa.RecordBatch]],
+    each: Callable[[Iterator[tuple[int | None, str, str, int]]], Iterator[pa.RecordBatch]],
     schema: str,
     *,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """Give ``each`` the documents of a range in descending id order as (id, text, next document's text).
-
-    Ranges are cut at quantiles of the ids. The next document of a range's last one is the first of the
-    next range, so that document is sent to both; after the last range comes the first. Ids equal or
-    null are ordered by text; null is below any id. Only the ranges' bounds and first ids come to the
-    driver, one number each per range.
+    """Give ``each`` the documents of a range in descending id order as (id, text, next document's text, copies).
+
+    Ids equal or null are ordered by the text's hash, descending; null is below any id. Equal rows come once, with their
+    number: all but the last of them have themselves as the next document, so ``each`` gets them as two.
+    Ranges are cut at quantiles of the ids, and an id with more different texts than a range has rows is cut by their hash. The
+    next document of a range's last one is the first of the next range, so that document is sent
+    to both; after the last range comes the first. Only the ranges' bounds and first rows come to the
+    driver, two numbers each per range.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -116,40 +118,62 @@ def in_sequence(
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.coalesce(F.col(doc_id).cast("long"), F.lit(lowest)).alias("place"),
+        F.xxhash64(text_of(text)).alias("hash"),
         text_of(text).alias("text"),
     )
     ranges = 3 * parts
-    cuts = rows.agg(F.percentile_approx("place", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0]
-    cuts = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast("array<bigint>")
-    number = F.size(F.filter(cuts, lambda c: c < F.col("place")))
-    firsts = sorted(((r[0], r[1]) for r in rows.groupBy(number.alias("range")).agg(F.max("place")).collect()), reverse=True)
-    # The range before, in descending order, gets a copy of a range's first documents.
-    copies = [(place, firsts[k - 1][0]) for k, (_, place) in enumerate(firsts)]
-    also = spark.createDataFrame(copies, "first long, before int")
-    dealt = rows.withColumn("range", number).join(F.broadcast(also), F.col("place") == F.col("first"), "left")
+    keys = rows.groupBy("place", "hash").agg(F.count(F.lit(1)).alias("copies"))
+    repeated = stage(keys.where("copies > 1").select(F.col("place").alias("_place"), F.col("hash").alias("_hash"), "copies"), "equal-rows")
+    if repeated.isEmpty():
+        once = rows.withColumn("copies", F.lit(1).cast("long"))
+    else:
+        same = (F.col("place") == F.col("_place")) & (F.col("hash") == F.col("_hash"))
+        alone = rows.join(repeated, same, "left_anti").withColumn("copies", F.lit(1).cast("long"))
+        again = rows.join(repeated, same).drop("_place", "_hash").dropDuplicates(["place", "hash"])
+        once = alone.unionByName(again)
+    quantiles = [i / ranges for i in range(1, ranges)]
+    facts = rows.agg(F.percentile_approx("place", quantiles, 100 * ranges).alias("cuts"), F.count(F.lit(1)).alias("n")).first()
+    highest = (1 << 63) - 1
+    cuts = {(c, highest) for c in facts["cuts"] or []}
+    # An id with more texts than a range has rows; there are fewer of them than ranges.
+    each_range = max(1000, -(-facts["n"] // ranges))
+    for place, texts in rows.groupBy("place").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > each_range).collect():
+        pieces = -(-texts // each_range)
+        cuts |= {(place, lowest + (k * (1 << 64)) // pieces) for k in range(pieces)}
+    bounds = F.array(*[F.struct(F.lit(p).alias("place"), F.lit(h).alias("hash")) for p, h in sorted(cuts)])
+    bounds = bounds.cast("array<struct<place:bigint,hash:bigint>>")
+    at = F.struct("place", "hash")
+    number = F.size(F.filter(bounds, lambda c: c < at))
+    firsts = sorted(((r[0], r[1]["place"], r[1]["hash"]) for r in rows.groupBy(number.alias("range")).agg(F.max(at)).collect()), reverse=True)
+    # The range before, in descending order, gets a copy of a range's first document.
+    copies = [(place, hashed, firsts[k - 1][0]) for k, (_, place, hashed) in enumerate(firsts)]
+    also = spark.createDataFrame(copies, "first_place long, first_hash long, before int")
+    dealt = once.withColumn("range", number).join(
+        F.broadcast(also), (F.col("place") == F.col("first_place")) & (F.col("hash") == F.col("first_hash")), "left"
+    )
     own = F.struct(F.col("range"), F.lit(False).alias("copied"))
     copied = F.struct(F.col("before").alias("range"), F.lit(True).alias("copied"))
     dealt = dealt.select(
-        "doc_id", "place", "text", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, copied))).alias("to")
-    ).select("doc_id", "place", "text", "to.range", "to.copied")
-    ordered = dealt.repartition(parts, "range").sortWithinPartitions("range", "copied", F.col("place").desc(), "text")
+        "doc_id", "place", "hash", "text", "copies", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, copied))).alias("to")
+    ).select("doc_id", "place", "hash", "text", "copies", "to.range", "to.copied")
+    ordered = dealt.repartition(parts, "range").sortWithinPartitions("range", "copied", F.col("place").desc(), F.col("hash").desc())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from each(_with_next(batches))
 
-    return ordered.select("range", "copied", "doc_id", "text").mapInArrow(run, schema)
+    return ordered.select("range", "copied", "doc_id", "text", "copies").mapInArrow(run, schema)
 
 
-def _with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str, str]]:
+def _with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str, str, int]]:
     waiting = None
     for batch in batches:
         texts = batch.column("text")
-        for i, (part, copied, document) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("range", "copied", "doc_id")))):
-            if copied and (waiting is None or waiting[0] != part):
-                continue  # a further copy of a repeated id
+        for i, (part, copied, document, copies) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("range", "copied", "doc_id", "copies")))):
             text = texts[i].as_py()
             if waiting is not None:
-                yield waiting[1], waiting[2], text
+                yield waiting[1], waiting[2], text, 1
+            if copies > 1 and not copied:
+                yield document, text, text, copies - 1
             waiting = None if copied else (part, document, text)
     if waiting is not None:
         raise ValueError("a range has no next document")
@@ -160,32 +184,36 @@ def compare_edited(docs: DataFrame, *, share: int = 3, doc_id: str = "doc_id", t
 
     The edit replaces the last ``1/share`` of the code points, rounded down, by the first as many of the
     next document in descending id order, or all of it if it is shorter. A single document is its own
-    next one.
+    next one. Null texts are empty; without documents there are no rows. Further columns are left out.
     """
     schema = (
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-        "near_edited double, near_next double"
+        "near_edited double, near_next double, copies long"
     )
     names = [c.split()[0] for c in schema.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    def each(documents: Iterator[tuple[int | None, str, str]]) -> Iterator[pa.RecordBatch]:
+    def each(documents: Iterator[tuple[int | None, str, str, int]]) -> Iterator[pa.RecordBatch]:
         rows, known = [], None
-        for document, body, following in documents:
+        for document, body, following, copies in documents:
             own = known[1] if known and known[0] == body else digest(body.encode())
             other = digest(following.encode())
             known = (following, other)
             cut = len(body) // share
             edited = (body[: len(body) - cut] + following[:cut]).encode()
             changed = digest(edited)
-            rows.append((document, len(body), hashlib.sha256(edited).hexdigest(), own, changed, likeness(own, changed), likeness(own, other)))
+            rows.append((document, len(body), hashlib.sha256(edited).hexdigest(), own, changed, likeness(own, changed), likeness(own, other), copies))
             if len(rows) == 1000:
                 yield packed(rows)
                 rows = []
         if rows:
             yield packed(rows)
 
-    return in_sequence(docs, each, schema, doc_id=doc_id, text=text)
+    found = in_sequence(docs, each, schema, doc_id=doc_id, text=text)
+    # A row for each copy, in two steps, so that no array is long.
+    found = found.withColumn("_run", F.explode(F.expr("sequence(0L, (copies - 1) div 100000)")))
+    left = F.least(F.lit(100_000), F.col("copies") - F.col("_run") * 100_000).cast("int")
+    return found.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), left))).drop("_copy", "_run", "copies")

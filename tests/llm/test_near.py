@@ -149,10 +149,27 @@ def test_nothing_to_remove(spark):
     assert substrings.remove_repeats(documents(spark, [])).count() == 0
 
 
+def hash_of(text):
+    found = xxhash.xxh64_intdigest((text or "").encode(), 42)
+    return found - (1 << 64) if found >> 63 else found
+
+
+def test_one_id_on_many_rows(spark):
+    rows = [(7, prose(i, 12)) for i in range(3000)] + [(7, prose(1, 12))] * 1500 + [(None, "x")] * 40 + [(i, prose(i, 9)) for i in range(300)]
+    got = digest.compare_edited(documents(spark, rows).repartition(4)).select("doc_id", "n_chars", "edited_sha256").collect()
+    lowest = -(1 << 63)
+    order = sorted(rows, key=lambda r: (lowest if r[0] is None else r[0], hash_of(r[1])), reverse=True)
+    want = []
+    for k, (doc_id, text) in enumerate(order):
+        cut = len(text) // 3
+        want.append((doc_id, len(text), hashlib.sha256((text[: len(text) - cut] + order[(k + 1) % len(order)][1][:cut]).encode()).hexdigest()))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_edited_digests(spark):
     rows = [r for r in odd_rows() if r[0] is not None] + [(20 + i, prose(50 + i, 80 + 10 * i)) for i in range(30)]
     got = digest.compare_edited(documents(spark, rows)).collect()
-    order = sorted(rows, key=lambda r: (-r[0], r[1] or ""))
+    order = sorted(rows, key=lambda r: (r[0], hash_of(r[1])), reverse=True)
     want = []
     for k, (doc_id, text) in enumerate(order):
         text, following = text or "", order[(k + 1) % len(order)][1] or ""
