@@ -294,7 +294,12 @@ def train(
     text: str = "text",
     label: str = "quality",
 ) -> Model | float:
-    """The fitted model, or the constant score if there aren't labels of both kinds."""
+    """The fitted model, or the constant score if there aren't labels of both kinds.
+
+    It is fitted on at most ``sample`` documents of each label, chosen by a hash of their ids, and ``lines`` of
+    their lines. Both bounds hold before features are made: of rows that repeat an id one is taken, and documents are taken in the
+    order of another hash until the lines are used up.
+    """
     labelled = labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col(doc_id)))
     labelled = labelled.groupBy(F.col(doc_id).cast("long").alias("_id")).agg(F.min(label).alias("_label"))
     labelled = stage(labelled, "quality-labels")
@@ -304,12 +309,23 @@ def train(
     for value in (0, 1):
         some = labelled.where(F.col("_label") == value).orderBy(order, "_id").limit(sample)
         chosen = some if chosen is None else chosen.unionByName(some)
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"))
     texts = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_label")
+    # One row of each id, and as many ids as the lines allow; the last document may be cut. At most twice ``sample`` rows come back.
+    known = texts.select("doc_id", F.xxhash64("text").alias("hash"), (F.regexp_count("text", F.lit("\n")) + 1).alias("n"))
+    known = known.groupBy("doc_id").agg(F.min(F.struct("hash", "n")).alias("one")).select("doc_id", "one.hash", "one.n").collect()
+    wanted, left = [], lines
+    for row in sorted(known, key=lambda r: (r["doc_id"] * 2654435761) % (1 << 32)):
+        if left > 0:
+            wanted.append((row["doc_id"], row["hash"], min(row["n"], left)))
+            left -= row["n"]
+    taken = F.broadcast(docs.sparkSession.createDataFrame(wanted, "_id long, _hash long, _lines int"))
+    texts = texts.join(taken, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, bodies in utf8_lists(batches, "text"):
-            found = [line_features(t) for t in bodies]
+            found = [line_features(b"\n".join(t.split(b"\n", n)[:n])) for t, n in zip(bodies, batch.column("_lines").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -320,14 +336,13 @@ def train(
                 names=["doc_id", "label", "features", "lengths"],
             )
 
-    rows = texts.mapInArrow(described, "doc_id long, label int, features binary, lengths binary").collect()
-    rows.sort(key=lambda r: (r[0], bytes(r[2])))
-    kept, used = [], 0
-    for row in sorted(rows, key=lambda r: (r[0] * 2654435761) % (1 << 32)):
+    described_rows = texts.select("doc_id", "text", "_label", "_lines").mapInArrow(described, "doc_id long, label int, features binary, lengths binary")
+    rows = {r[0]: r for r in described_rows.dropDuplicates(["doc_id"]).collect()}
+    kept = []
+    for doc in (w[0] for w in wanted):
+        row = rows[doc]
         length = np.frombuffer(row[3], dtype="<i8")
-        if used + len(length) <= lines or not kept:
-            kept.append((np.frombuffer(row[2], dtype="<f4").reshape(len(length), -1).astype(float), length, row[1]))
-            used += len(length)
+        kept.append((np.frombuffer(row[2], dtype="<f4").reshape(len(length), -1).astype(float), length, row[1]))
     good = np.array([k[2] == 1 for k in kept], dtype=bool)
     if good.all() or not good.any():
         return float(good.mean()) if len(good) else 0.5
