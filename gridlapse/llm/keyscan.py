@@ -3,12 +3,14 @@
 Only DataFrame functions. One pass over the texts finds the fixed patterns' spans and every long token;
 what it keeps is narrow and is written once. The models are first-order: the chance of a character after
 the one before it, for random strings from the values that the fixed patterns found in all documents,
-for ordinary identifiers from the shorter tokens of a bounded sample of documents. A token whose mean log
+for ordinary identifiers from the shorter tokens of all documents. Pairs of characters are added up before they
+are shuffled. A token whose mean log
 likelihood ratio per character is high enough is a span of kind ``markov``, unless it overlaps a span of
 a fixed pattern. The models come to the driver as one number for each pair of characters.
 
 Positions are code points. Columns may be null: a null text is the empty one, a null id stays null.
-Rows that repeat an id are scanned each on their own; further columns are left out.
+Rows that repeat an id are scanned each on their own; further columns are left out. Texts are scanned whole, whatever
+their length, and without documents there are no rows.
 """
 
 from __future__ import annotations
@@ -41,9 +43,10 @@ ALPHABET = 65
 UNIFORM_RANDOM, UNIFORM_ORDINARY = 0.5, 0.05
 #: Pairs that the second character's own share counts for.
 BACKING = 5
-#: Documents whose words train the model of identifiers: those with the smallest hash.
-TRAINING_DOCUMENTS = 2000
-THRESHOLD = 0.5
+#: Mean ratio from which a token counts as random: above 0, as a few samples leave ordinary words near it.
+THRESHOLD = 0.25
+#: Matches of a text whose places are added up one after the other; the sums of such runs are added up in turn.
+RUN = 256
 
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
@@ -53,7 +56,8 @@ def matches(text: Column, pattern: str, value_group: int = 0) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = found if value_group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("found"), values.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+    whole = F.filter(parts, lambda p: p["found"].isNotNull())  # not the text after the last match
+    nothing = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
 
     def add(so_far: Column, part: Column) -> Column:
         begin = so_far["at"] + F.length(part["gap"])
@@ -61,9 +65,25 @@ def matches(text: Column, pattern: str, value_group: int = 0) -> Column:
         span = F.struct(begin.alias("start"), end.alias("end"), part["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(so_far["spans"], F.array(span)).alias("spans"))
 
-    whole = F.filter(parts, lambda p: p["found"].isNotNull())  # not the text after the last match
-    spans = F.aggregate(whole, start, add, lambda so_far: so_far["spans"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPAN))
+    # Appending to an array copies it, so places are counted within runs, and then the runs'.
+    runs = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / RUN).cast("int")),
+        lambda k: F.aggregate(F.slice(whole, k * RUN + 1, RUN), nothing, add),
+    )
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate(
+        runs,
+        first,
+        lambda so_far, run: F.struct((so_far["at"] + run["at"]).alias("at"), F.concat(so_far["starts"], F.array(so_far["at"])).alias("starts")),
+        lambda so_far: so_far["starts"],
+    )
+
+    def moved(run: Column, by: Column) -> Column:
+        return F.transform(
+            run["spans"], lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["value"].alias("value"))
+        )
+
+    return F.when(text.rlike(pattern), F.flatten(F.zip_with(runs, starts, moved))).otherwise(F.array().cast(SPAN))
 
 
 def base_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -86,21 +106,15 @@ def _pairs(strings: DataFrame, label: int) -> DataFrame:
     return exploded.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).withColumn("label", F.lit(label))
 
 
-def train(
-    docs: DataFrame, spans: DataFrame, *, doc_id: str = "doc_id", text: str = "text", documents: int = TRAINING_DOCUMENTS
-) -> list[float]:
+def train(docs: DataFrame, spans: DataFrame, *, text: str = "text") -> list[float]:
     """Log likelihood ratio, random to ordinary, for each pair of characters, ``WIDTH`` by ``WIDTH``.
 
-    Random strings: the values of all base spans. Ordinary ones: the shorter tokens of ``documents``
-    documents, those whose id has the smallest hash. Without samples all ratios are 0.
+    Random strings: the values of all base spans. Ordinary ones: the shorter tokens of all documents.
+    Without samples all ratios are 0.
     """
     values = F.explode(F.transform(F.concat("assign", "access", "hex"), lambda s: s["value"]))
     random = spans.select(values.alias("value"))
-    key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("-")))
-    keyed = docs.select(key.alias("key"), text_of(text).alias("body"))
-    chosen = keyed.select(F.col("key").alias("chosen")).distinct().orderBy("chosen").limit(documents)
-    sample = keyed.join(F.broadcast(chosen), F.col("key") == F.col("chosen"), "left_semi")
-    ordinary = sample.select(F.explode(F.regexp_extract_all("body", F.lit(IDENTIFIER), F.lit(0))).alias("value"))
+    ordinary = docs.select(F.explode(F.regexp_extract_all(text_of(text), F.lit(IDENTIFIER), F.lit(0))).alias("value"))
     counts: list[dict] = [defaultdict(int), defaultdict(int)]
     totals: list[dict] = [defaultdict(int), defaultdict(int)]
     inside = F.col("pair").rlike("^[A-Za-z0-9+/_.=-]{2}$")
@@ -142,17 +156,10 @@ def ratio(value: Column, model: list[float]) -> Column:
     return F.aggregate(places, F.lit(0.0), add) / (F.length(value) - 1)
 
 
-def scan(
-    docs: DataFrame,
-    *,
-    threshold: float = THRESHOLD,
-    documents: int = TRAINING_DOCUMENTS,
-    doc_id: str = "doc_id",
-    text: str = "text",
-) -> DataFrame:
+def scan(docs: DataFrame, *, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row ``doc_id`` and the spans of each kind: ``assign``, ``access``, ``hex``, ``markov``."""
     spans = stage(base_spans(docs, doc_id=doc_id, text=text), "key-spans")
-    model = train(docs, spans, doc_id=doc_id, text=text, documents=documents)
+    model = train(docs, spans, text=text)
     base = F.concat("assign", "access", "hex")
 
     def apart(token: Column) -> Column:
@@ -161,7 +168,8 @@ def scan(
     def varied(value: Column) -> Column:
         return F.size(F.array_distinct(F.split(value, ""))) >= DIFFERENT
 
-    random = F.filter("token", lambda s: apart(s) & varied(s["value"]) & (ratio(s["value"], model) >= threshold))
+    # What a token is by itself is asked first; few are left to compare with the base spans.
+    random = F.filter(F.filter("token", lambda s: varied(s["value"]) & (ratio(s["value"], model) >= threshold)), apart)
     return spans.select("doc_id", *KINDS, random.alias(METHOD))
 
 
