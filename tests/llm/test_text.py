@@ -130,10 +130,24 @@ def test_secrets(spark):
         if r.doc_id is not None:
             spans = [x.split(":") for x in r.all.split(",") if x.startswith("markov")]
             random_spans.setdefault(r.doc_id, set()).update(texts[r.doc_id][int(s) : int(e)] for _, s, e in spans)
-    assert sum(v in random_spans[k] for k, v in hidden.items()) >= 14
+    assert sum(v in random_spans[k] for k, v in hidden.items()) >= 18
     assert not any(re.fullmatch("[a-z_]+|[-0-9/]+", s, re.I) for spans in random_spans.values() for s in spans)
 
 
+def test_places_of_many_matches(spark, monkeypatch):
+    monkeypatch.setattr(keyscan, "RUN", 4)
+    texts = [" é".join(f"{'ab' * 13}{k % 10}" + "x" * (k % 3) for k in range(n)) for n in (0, 1, 3, 4, 5, 8, 9, 50)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", keyscan.matches(keyscan.F.col("t"), keyscan.HEX).alias("m")).collect()
+    for r in rows:
+        assert [(s.start, s.end, s.value) for s in r.m] == [(m.start(), m.end(), m[0]) for m in re.finditer(keyscan.HEX, r.t)]
+
+
+def test_secrets_in_a_very_long_text(spark):
+    text = " ".join(f"token: value{k:06d} word" for k in range(20_000))
+    row = keyscan.scan(documents(spark, [(1, text)])).first()
+    assert len(row.assign) == 20_000 and row.assign[-1].end == len(text) - 5
+
+
 def test_secrets_without_samples(spark):
     assert keyscan.scan(documents(spark, [])).count() == 0
     row = keyscan.scan(documents(spark, [(1, "x" * 50)])).first()
@@ -174,6 +188,27 @@ def test_licenses(spark):
     assert licenses.scan(documents(spark, [])).count() == 0
 
 
+def test_licence_candidates_need_two_words_at_one_place(spark):
+    listed = licenses.templates()
+    weight = {w: 1.0 + len(w) for t in listed for w in t.words}
+    index = licenses.Index(listed, weight)
+    long = max(range(len(listed)), key=lambda n: len(listed[n].words))
+    words = list(listed[long].words)
+    before = [b"zz"] * 7
+    assert (long, 7) in index.candidates(before + words + before)
+    assert not any(number == long for number, _ in index.candidates(before + sorted(words) + before))
+    assert not any(number == long for number, _ in index.candidates(words[: len(words) // 3]))
+
+
+@pytest.mark.parametrize("label", ["mit", "bsd", "isc", "zlib"])
+def test_whole_licences_inside_long_texts(spark, label):
+    whole = max((text for own, text, _ in licenses.TEMPLATES if own == label), key=len)
+    assert len(whole.split()) > 90
+    rows = [(1, prose(1, 30_000) + " " + whole + " " + prose(2, 400)), (2, whole.upper()), (3, " ".join(reversed(whole.split()))), (4, prose(3, 500))]
+    found = {r.doc_id: r.labels.split(",") for r in licenses.scan(documents(spark, rows)).collect()}
+    assert label in found[1] and label in found[2] and label not in found[3] and found[4] == [""]
+
+
 # --- mixing ----------------------------------------------------------------------------------
 
 
