@@ -24,6 +24,7 @@ words than a shingle have one. Repeated rows are one text. Without documents the
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,8 @@ KEYS, LOW = 24, 64
 FREQUENT, ONE_IN = 50, 2000
 #: Bits of a parity map for each shingle, rounded up to a power of two, and the most that a map has.
 MAP_BITS, MOST_BITS = 4, 1 << 15
-#: Texts of a block.
-BLOCK = 1024
+#: Texts of a block, and of a batch of whole sets.
+BLOCK, ROWS = 1024, 500
 
 
 def shingles(text: bytes, words_each: int = WORDS) -> np.ndarray:
@@ -151,7 +152,7 @@ def _sketched(texts: DataFrame) -> DataFrame:
             for body in bodies:
                 found = shingles(body)
                 sizes.append(len(found))
-                low.append(found[:LOW].view(np.int64))
+                low.append(found[:LOW].view(np.int64).copy())  # not a view that keeps them all
                 maps.append(parity_map(found))
             arrays = [batch.column("hash"), pa.array(sizes, pa.int64()), pa.array(low, pa.list_(pa.int64())), pa.array(maps, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["hash", "size", "low", "map"])
@@ -271,10 +272,13 @@ def _across(rows: DataFrame) -> DataFrame:
 
 
 def _sets(texts: DataFrame) -> DataFrame:
+    """Whole sets by ``hash``; few rows at a time, as those of long texts are large."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, bodies in utf8_lists(batches, "text"):
-            found = [shingles(body).tobytes() for body in bodies]
-            yield pa.RecordBatch.from_arrays([batch.column("hash"), pa.array(found, pa.binary())], names=["hash", "set"])
+            for at in range(0, batch.num_rows, ROWS):
+                found = [shingles(body).tobytes() for body in islice(bodies, ROWS)]
+                yield pa.RecordBatch.from_arrays([batch.column("hash").slice(at, ROWS), pa.array(found, pa.binary())], names=["hash", "set"])
 
     return texts.mapInArrow(run, "hash long, set binary").dropDuplicates(["hash"])
 
