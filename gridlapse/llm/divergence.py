@@ -72,16 +72,16 @@ COUNTS = "kind int, lang string, source string, digest long, n long, docs long,
 
 
 def counted(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", bits: int = DIGEST_BITS) -> DataFrame:
-    """Three kinds of rows. 0: a group that occurs. 1: a group's term with its counts so far. 2: a term of any
-    group, with its digest."""
+    """Three kinds of rows. 0: a group that occurs. 1 and 2: a group's term with its counts so far, 2 for one group
+    of each term, so that those rows have every term once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in COUNTS.split(", ")]
         occurrences: dict[tuple, Counter] = {}
         documents: dict[tuple, Counter] = {}
 
-        def rows(kind: int, size: int, **columns: pa.Array) -> pa.RecordBatch:
-            nothing = {"kind": pa.repeat(pa.scalar(kind, pa.int32()), size)}
+        def rows(size: int, **columns: pa.Array) -> pa.RecordBatch:
+            nothing = {"kind": pa.repeat(pa.scalar(0, pa.int32()), size)}
             for name in names[1:]:
                 nothing[name] = pa.nulls(size, pa.int64() if name in ("digest", "n", "docs") else pa.string())
             return pa.RecordBatch.from_pydict(nothing | columns)
@@ -90,16 +90,18 @@ def counted(docs: DataFrame, *, text: str = "text", lang: str = "lang", source:
             every = list(set().union(*documents.values()))
             digests = digests_of(every, bits)
             known = dict(zip(every, digests.tolist()))
+            left = set(every)
             for group, terms in documents.items():
                 size, listed = len(terms), list(terms)
                 named = {c: pa.repeat(pa.scalar(v, pa.string()), size + 1) for c, v in zip(GROUP, group)}
-                yield rows(0, 1, **{c: v[:1] for c, v in named.items()})
+                yield rows(1, **{c: v[:1] for c, v in named.items()})
+                kind = np.fromiter(map(left.__contains__, listed), dtype=np.int32, count=size) + 1
+                left.difference_update(listed)
                 found = np.fromiter(map(known.__getitem__, listed), dtype=np.int64, count=size)
                 n = np.fromiter(map(occurrences[group].__getitem__, listed), dtype=np.int64, count=size)
                 docs = np.fromiter(terms.values(), dtype=np.int64, count=size)
-                columns = {"digest": pa.array(found), "n": pa.array(n), "docs": pa.array(docs), "term": strings(listed)}
-                yield rows(1, size, **{c: v[:size] for c, v in named.items()}, **columns)
-            yield rows(2, len(every), digest=pa.array(digests), term=strings(every))
+                columns = {"kind": pa.array(kind, pa.int32()), "digest": pa.array(found), "n": pa.array(n), "docs": pa.array(docs), "term": strings(listed)}
+                yield rows(size, **{c: v[:size] for c, v in named.items()}, **columns)
             occurrences.clear()
             documents.clear()
 
@@ -138,7 +140,7 @@ def term_counts(parts: DataFrame, documents: int = DOCUMENTS) -> tuple[DataFrame
 
     A term is named by ``digest`` and ``own``, which is empty unless terms share the digest.
     """
-    counts = parts.where("kind = 1")
+    counts = parts.where("kind > 0")
     sums = [F.sum("n").cast("decimal(38,0)").alias("n"), F.sum("docs").alias("docs")]
     plain = stage(counts.groupBy(*GROUP, "digest").agg(*sums), "digest-counts")
     frequent = plain.groupBy("lang", "digest").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= documents)
