@@ -35,6 +35,25 @@ SEQUENCE_FEATURES = ("total_cpu_usage", "prev_measured_power_util")
 SIMPLE_MODELS = ("persistence", "moving_average", "cpu_heuristic")
 STANDARDIZED = tuple(feature_set("legacy"))
 
+TIMED_STATES = (
+    "cell",
+    "pdu",
+    "window_index",
+    "collection_id",
+    "instance_index",
+    "machine_id",
+    "avg_cpu_usage",
+    "effective_scheduling_class",
+    "effective_priority",
+    "effective_scheduler",
+    "dependency_count",
+    "effective_collection_type",
+    "submit_time_us",
+    "run_start_time_us",
+    "run_end_time_us",
+    "actual_runtime_us",
+    )
+
 QUERIES: dict[str, Query] = {}
 
 
@@ -292,24 +311,7 @@ def task_states(t: Trace) -> DataFrame:
         t.usage, t.machines, t.collection_events, t.instance_events, width_us=MONTH
     )
     timed = expressions.task_timing(states, 1.5)
-    return timed.select(
-        "cell",
-        "pdu",
-        "window_index",
-        "collection_id",
-        "instance_index",
-        "machine_id",
-        "avg_cpu_usage",
-        "effective_scheduling_class",
-        "effective_priority",
-        "effective_scheduler",
-        "dependency_count",
-        "effective_collection_type",
-        "submit_time_us",
-        "run_start_time_us",
-        "run_end_time_us",
-        "actual_runtime_us",
-    )
+    return timed.select(*TIMED_STATES)
 
 
 def flex_table(t: Trace, **options) -> DataFrame:

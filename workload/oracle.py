@@ -488,6 +488,8 @@ SQL["coverage_join"] = "SELECT * FROM covered_1d"
 
 SQL["usage_rollup"] = f"""SELECT cell, pdu, window_index, {', '.join(_COUNTS)}, {r6s(*_CPUS)}
 FROM usage_1d"""
+SQL["usage_rollup_from_parts"] = f"""SELECT cell, pdu, window_index, {', '.join(_COUNTS)}, {r6s(*_CPUS)}
+FROM usage_7d"""
 SQL["usage_rollup_exact"] = f"""SELECT cell, pdu, window_start, {', '.join(_COUNTS)}, {r6s(*_CPUS)}
 FROM usage_exact"""
 SQL["power_rollup"] = f"""SELECT cell, pdu, window_index, window_start, {r6s(*_POWER)}
@@ -1048,6 +1050,10 @@ SQL["write_benchmark"] = f"""SELECT model,
  ('val', 'mae'), ('val', 'rmse'), ('test', 'mae'), ('test', 'rmse'), ('test', 'r2')))}
 FROM by_split GROUP BY model"""
 SQL["read_benchmark"] = SQL["leaderboard"].partition("ORDER BY")[0]
+SQL["power_rollup_stream"] = f"""SELECT cell, pdu, window_index, {r6s(*_POWER)} FROM power_1d
+WHERE (window_index + 1) * {D} <= (SELECT max(time) // 1000 * 1000 - 2 * {D} FROM power
+  WHERE NOT bad_measurement_data AND NOT bad_production_power_data)"""
+SQL["task_states_from_tables"] = SQL["task_states"]
 SQL["ranked_times"] = "SELECT window_start AS time_us, k AS time_rank FROM times"
 
 

@@ -10,12 +10,14 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlapse.operators import baselines, evaluate, features, flex
+from gridlapse.operators import baselines, evaluate, features, flex, mergeable
 from gridlapse.plans.stage import stage_directory
 from gridlapse.schema import CSV_HEADER_PREFIX, feature_set
-from gridlapse.sources import readers, versions, writers
-from workload.adapters import DAY, Trace
-from workload.catalog import LABEL, SIMPLE_MODELS, built, dataset, placed, query, runs
+from gridlapse.functions import expressions
+from gridlapse.streaming import rollup as streaming
+from gridlapse.sources import layout, readers, versions, writers
+from workload.adapters import DAY, MONTH, Trace
+from workload.catalog import LABEL, SIMPLE_MODELS, TIMED_STATES, built, dataset, placed, query, runs
 
 FLEX_CSV = ("window_start", "window_index", "cell", "pdu", "task_count", "flex_cpu_ratio")
 
@@ -174,6 +176,36 @@ def read_benchmark(t: Trace) -> DataFrame:
     return readers.read_benchmark(t.spark, path, table.schema)
 
 
+@query
+def usage_rollup_from_parts(t: Trace) -> DataFrame:
+    """Weeks from stored parts of days, without the usage."""
+    path = folder(t, "usage-parts")
+    mergeable.usage_parts(placed(t), width_us=DAY).write(path)
+    stored = mergeable.UsageParts.read(t.spark, path, DAY)
+    return mergeable.rollup_of_parts(mergeable.merge_parts(stored, 7 * DAY))
+
+
+@query
+def task_states_from_tables(t: Trace) -> DataFrame:
+    """Task states from tables that are bucketed by task."""
+    buckets = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    path = folder(t, "task-tables")
+    tables = layout.write_task_tables(t.usage, t.instance_events, f"tasks_{uuid.uuid4().hex}", path, buckets)
+    states = layout.task_states(t.spark, tables, t.machines, t.collection_events, width_us=MONTH)
+    return expressions.task_timing(states, 1.5).select(*TIMED_STATES)
+
+
+@query
+def power_rollup_stream(t: Trace) -> DataFrame:
+    """Days of power readings from a stream of files, as far as they can't change any more."""
+    path, out = folder(t, "readings"), folder(t, "stream")
+    t.power.write.parquet(path)
+    stream = t.spark.readStream.schema(t.power.schema).parquet(path)
+    days = streaming.power_windows(stream, width_us=DAY, delay="2 days")
+    streaming.append_to(days, out, f"{out}-state").awaitTermination()
+    return t.spark.read.schema(days.schema).parquet(out)
+
+
 @query
 def ranked_times(t: Trace) -> DataFrame:
     return features.ranked_times(t.series, block_us=3 * DAY)
