@@ -270,7 +270,8 @@ def near_duplicates(
 
     ``component_id`` is the smallest id of the documents that a row is connected to, ``group`` names the
     same component. Rows that repeat an id are kept, each with its own fingerprint. A null id counts as
-    no id: its row has the component of its fingerprint, which is null if no id reaches it.
+    no id: its row has the component of its fingerprint, which is null if no id reaches it. Null and empty texts have
+    fingerprint 0; texts are read whole, whatever their length; without documents there are no rows. Further columns are left out.
     """
     own = stage(fingerprints(docs, rule, doc_id=doc_id, text=text), "fingerprints")
     columns = rule.columns
