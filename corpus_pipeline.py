@@ -1,6 +1,10 @@
 """From raw documents to token ids: five stages, each written as Parquet and read again by the next.
 
 quality classifier, SimHash near duplicates, benchmark decontamination, mixing, token-id records
+
+Defined results, for every stage: null texts and texts without words are empty ones; null sources are a source, null ids come
+before others. Texts are taken whole, whatever their length. Rows that repeat an id are documents of their own; further columns
+stay, but for the last stage. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -25,22 +29,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id."""
+    """Of each group of near copies, the document with the smallest id; texts without words are one group."""
     return simhash.keep_one(docs, overlap.join_near(docs, simhash.near_duplicates(docs, NEAR)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item: four fifths of its five-word shingles. Items of fewer words are in none."""
     return decontaminate.without_items(docs, decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: a row per epoch of a document, one cut text at each source's budget."""
+    """Sources at their target weights: a row per epoch of a document, one cut text at each source's budget.
+
+    Texts without words have no part in a mix.
+    """
     return mixing.mixed_documents(docs, mixing.mix(docs))
 
 
 def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes all rows' token ids as records and reads them back, one row each."""
+    """Writes all rows' token ids as records in ascending id order and reads them back, one row each."""
     import public_tokenizers
 
     return records.read_records(records.write_records(docs, public_tokenizers.path(TOKENIZER), end_id=END_ID))
