@@ -40,7 +40,7 @@ LEAST = (4, 5)
 WORDS = 5
 KEYS, LOW = 24, 64
 #: A shingle is frequent if it is among the smallest of more texts than this, and of more than one in ``ONE_IN``.
-FREQUENT, ONE_IN = 50, 2000
+FREQUENT, ONE_IN = 50, 10_000
 #: Bits of a parity map for each shingle, rounded up to a power of two, and the most that a map has.
 MAP_BITS, MOST_BITS = 4, 1 << 15
 #: Texts of a block, and of a batch of whole sets.
@@ -331,8 +331,8 @@ def _open_cells(cells: DataFrame, groups: DataFrame, sketches: DataFrame) -> Dat
 def near_groups(texts: DataFrame, groups: DataFrame) -> DataFrame:
     """``hash`` and ``group``: the groups of ``groups``, joined where they hold near texts.
 
-    ``texts`` has ``hash`` and ``text``, ``groups`` one row per hash. Frequent shingles come to the driver: one in
-    2,000 texts at least has each among its 64 smallest, so there are at most 128,000.
+    ``texts`` has ``hash`` and ``text``, ``groups`` one row per hash. Frequent shingles come to the driver, and go to
+    every task: one in 10,000 texts at least has each among its 64 smallest, so there are at most 640,000, or 5 MB.
     """
     sketches = stage(_sketched(texts).dropDuplicates(["hash"]), "shingle-sketches")
     counted = sketches.select(F.explode("low").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
