@@ -1,9 +1,10 @@
 """Usage rollups that merge: hour and day windows from stored five-minute parts, distinct counts exact.
 
-A distinct count cannot be added up. So each window keeps the set of its members as bitmaps: ids are numbered from 1
-without gaps, a bitmap has the 32,768 numbers of one bucket, and a window has a row for each bucket that it touches. The
-set of a longer window is the union of its parts' bitmaps, bucket by bucket, and its count is the sum of the bits. Usage is
-read once; what is merged is at most 4 KB for each window and bucket, whatever the number of rows.
+A distinct count cannot be added up. So each window keeps the set of its members: ids are numbered from 1 without gaps, a
+window has a row for each bucket of 32,768 numbers that it touches, and the row has those words of 64 bits in which a bit is
+set. The set of a longer window is the union of its parts' words, bucket by bucket, and its count is the sum of the bits.
+Usage is read once. A full bucket has 512 words, one with a single member has one: what is stored and merged is never more
+than a word for each member, and aggregates hold numbers of fixed size only.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ from gridlapse.schema import WINDOW_US
 MEMBERS = {"collection_id": "collection_count", "machine_id": "machine_count"}
 #: Lower bits of ``monotonically_increasing_id``: a row's place in its partition.
 PLACE_BITS = 33
+#: A word has 2**6 numbers, a bucket 2**9 words.
+WORD_PLACE_BITS = 6
+BUCKET_PLACE_BITS = 9
 
 
 def number_ids(df: DataFrame, column: str) -> DataFrame:
@@ -41,9 +45,16 @@ def number_ids(df: DataFrame, column: str) -> DataFrame:
     return numbered.select(column, (F.col("_start") + F.col("_id").bitwiseAND((1 << PLACE_BITS) - 1) + 1).alias("number"))
 
 
+def _buckets(words: DataFrame) -> DataFrame:
+    """A row per window, member and bucket from rows of single words, which may come several times."""
+    keys = [*WINDOW_KEYS, "member", "bucket"]
+    united = words.groupBy(*keys, "word").agg(F.bit_or("bits").alias("bits"))
+    return united.groupBy(*keys).agg(F.collect_list(F.struct("word", "bits")).alias("words"))
+
+
 @dataclass(frozen=True)
 class UsageParts:
-    """Parts of windows of one width: sums, and members as bitmaps."""
+    """Parts of windows of one width: sums, and members as words of bits."""
 
     width_us: int
     sums: DataFrame
@@ -89,12 +100,16 @@ def usage_parts(
         known = number_ids(rows, column) if known is None else known
         seen = rows.where(F.col(column).isNotNull()).select(*WINDOW_KEYS, column).distinct()
         numbered = seen.join(known.withColumnRenamed(column, "_value"), F.col(column) == F.col("_value"))
-        bits = numbered.groupBy(*WINDOW_KEYS, F.bitmap_bucket_number("number").alias("bucket")).agg(
-            F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bitmap")
+        place = F.col("number") - 1
+        words = numbered.select(
+            *WINDOW_KEYS,
+            F.lit(column).alias("member"),
+            F.shiftright(place, WORD_PLACE_BITS + BUCKET_PLACE_BITS).alias("bucket"),
+            F.shiftright(place, WORD_PLACE_BITS).bitwiseAND((1 << BUCKET_PLACE_BITS) - 1).cast("int").alias("word"),
+            F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND((1 << WORD_PLACE_BITS) - 1).cast("int")).alias("bits"),
         )
-        bits = bits.select(*WINDOW_KEYS, F.lit(column).alias("member"), "bucket", "bitmap")
-        members = bits if members is None else members.unionByName(bits)
-    return UsageParts(width_us, sums, members)
+        members = words if members is None else members.unionByName(words)
+    return UsageParts(width_us, sums, _buckets(members))
 
 
 def merge_parts(parts: UsageParts, width_us: int) -> UsageParts:
@@ -108,9 +123,10 @@ def merge_parts(parts: UsageParts, width_us: int) -> UsageParts:
         F.sum("cpu_rows").alias("cpu_rows"),
         F.max("max_cpu_usage").alias("max_cpu_usage"),
     )
-    members = parts.members.withColumn("window_index", index)
-    members = members.groupBy(*WINDOW_KEYS, "member", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
-    return UsageParts(width_us, sums, members)
+    keys = [*WINDOW_KEYS, "member", "bucket"]
+    # Packed rows meet before they are unfolded: both aggregates then need no further shuffle.
+    members = parts.members.withColumn("window_index", index).repartition(*keys)
+    return UsageParts(width_us, sums, _buckets(members.select(*keys, F.inline("words"))))
 
 
 def union_parts(one: UsageParts, other: UsageParts) -> UsageParts:
@@ -123,8 +139,10 @@ def union_parts(one: UsageParts, other: UsageParts) -> UsageParts:
 
 def rollup_of_parts(parts: UsageParts) -> DataFrame:
     """The measures of :func:`gridlapse.operators.rollup.usage_rollup`, without the usage."""
-    counts = parts.members.groupBy(*WINDOW_KEYS).agg(
-        *[F.sum(F.when(F.col("member") == column, F.bitmap_count("bitmap"))).alias(name) for column, name in MEMBERS.items()]
+    set_bits = F.aggregate("words", F.lit(0), lambda n, word: n + F.bit_count(word["bits"]))
+    sizes = parts.members.select(*WINDOW_KEYS, "member", set_bits.cast("long").alias("_n"))
+    counts = sizes.groupBy(*WINDOW_KEYS).agg(
+        *[F.sum(F.when(F.col("member") == column, F.col("_n"))).alias(name) for column, name in MEMBERS.items()]
     )
     joined = parts.sums.join(counts, WINDOW_KEYS, "left")
     return joined.select(

@@ -62,3 +62,17 @@ def test_exports_with_shared_numbers_unite(spark):
 
 def test_no_usage(spark):
     assert mergeable.rollup_of_parts(mergeable.usage_parts(placed(spark).where("machine_id < 0"))).count() == 0
+
+
+def test_few_members_of_many_buckets_stay_small(spark, tmp_path):
+    """A window that touches 200 buckets with one member each stores 200 words, not 200 bitmaps."""
+    ids = spark.range(200 * 32_768).select(F.col("id").alias("collection_id"), (F.col("id") + 1).alias("number"))
+    machines = spark.createDataFrame([(1, 1)], "machine_id long, number long")
+    usage = frames.usage(spark, [{"start_time": 0, "collection_id": 1, "machine_id": 1, "cpu": 1.0}])
+    thin = usage.crossJoin(spark.range(200).select("id")).withColumn("collection_id", F.col("id") * 32_768 + F.col("id") * 163).drop("id")
+    thin = thin.withColumns({"cell": F.lit("e"), "pdu": F.lit("p")})
+    parts = mergeable.usage_parts(thin, numbers={"collection_id": ids, "machine_id": machines})
+    parts = mergeable.union_parts(parts, parts)
+    row = mergeable.rollup_of_parts(parts).first()
+    assert (row["collection_count"], row["machine_count"]) == (200, 1)
+    assert parts.members.select(F.sum(F.length(F.to_json("words")))).first()[0] < 201 * 60
