@@ -22,6 +22,7 @@ from gridlapse.plans.skew import (
     counted_keys,
     key_counts,
     lookup_join,
+    nested_lookup_join,
 )
 from gridlapse.schema import (
     COLLECTION_END_EVENTS,
@@ -124,33 +125,23 @@ def with_lifecycles(
 ) -> DataFrame:
     """Task rows left-joined with both lifecycles.
 
-    Task rows are by far the largest input: a task has one row per window. They are therefore
-    shuffled once. The two lifecycles meet at the grain of one row per task, on the distinct task
-    keys found in the usage; those keys' counts also tell which tasks or collections are hot.
-    ``scoped`` says that the tasks are a part of the usage: events of other collections are then
-    left out before they are aggregated.
+    Task rows are by far the largest input. They are shuffled once, by collection: both lifecycles meet
+    them there. ``scoped`` says that the tasks are a part of the usage: events of other collections are
+    then left out before they are aggregated.
     """
-    task_keys = cell_keys(TASK_KEYS, tasks)
-    counts = key_counts(tasks, task_keys)
-    found = counted_keys(counts, task_keys)
     if scoped:
+        keys = cell_keys([COLLECTION], tasks)
+        found = counted_keys(key_counts(tasks, keys), keys)
         collection_events = restrict_to_collections(collection_events, found)
         instance_events = restrict_to_collections(instance_events, found)
     collections = collection_lifecycle(collection_events)
     instances = instance_lifecycle(instance_events)
-    attributes = lookup_join(
-        found,
-        collections,
-        cell_keys([COLLECTION], found, collections),
-        hot_share=hot_share,
-        min_hot_rows=min_hot_rows,
-    ).join(instances, cell_keys(TASK_KEYS, found, instances), "left")
-    return lookup_join(
+    return nested_lookup_join(
         tasks,
-        attributes,
-        task_keys,
-        null_safe=True,
-        counts=counts,
+        collections,
+        cell_keys([COLLECTION], tasks, collections),
+        instances,
+        cell_keys(TASK_KEYS, tasks, instances),
         hot_share=hot_share,
         min_hot_rows=min_hot_rows,
     ).withColumn(
@@ -180,14 +171,8 @@ def task_trace(
     joined = with_lifecycles(tasks, collection_events, instance_events, scoped=scoped, hot_share=hot_share)
     windows = power_rollup(select_power(power, None if cell is None else [cell], pdus), **scope)
     keys = ["cell", "pdu", "window_index"]
-    traced = lookup_join(
-        joined,
-        windows.select(*keys, "measured_power_util", "production_power_util"),
-        keys,
-        counts=key_counts(tasks, keys),
-        hot_share=hot_share,
-    )
-    return traced.select(*TASK_TRACE_COLUMNS)
+    windows = windows.select(*keys, "measured_power_util", "production_power_util")
+    return lookup_join(joined, windows, keys, counts=key_counts(tasks, keys), hot_share=hot_share).select(*TASK_TRACE_COLUMNS)
 
 
 def task_states(

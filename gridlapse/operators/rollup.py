@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridlapse.functions.buckets import in_window_range, window_index, window_start
 from gridlapse.functions.expressions import good_power, not_in_alloc, usage_filter, zero_defaults
-from gridlapse.plans.skew import HOT_SHARE, lookup_join
+from gridlapse.plans.skew import HOT_SHARE, lookup_join, small_lookup
 from gridlapse.schema import BASE_FEATURE_COLUMNS, TRAINING_COLUMNS, WINDOW_US
 
 WINDOW_KEYS = ["cell", "pdu", "window_index"]
@@ -46,11 +46,11 @@ def select_power(
 def usage_on_machines(usage: DataFrame, machines: DataFrame) -> DataFrame:
     """Usage rows of the given machines, with their cell and PDU.
 
-    No hint: Spark broadcasts the machine map while its size allows it, and sorts, merges and
-    splits skewed partitions beyond that. Usage without a cell fails while running on a machine id
-    that the map has in several cells: its rows could be of either.
+    A machine map of up to 500,000 rows is broadcast, so that usage stays where it is; beyond that
+    Spark sorts, merges and splits skewed partitions. Usage without a cell fails while running on a
+    machine id that the map has in several cells: its rows could be of either.
     """
-    machines = machines.select("machine_id", "pdu", "cell")
+    machines = small_lookup(machines.select("machine_id", "pdu", "cell"))
     if "cell" in usage.columns:
         return usage.join(machines, ["machine_id", "cell"])
     same_id = Window.partitionBy("machine_id")
