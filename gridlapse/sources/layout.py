@@ -1,8 +1,10 @@
 """Task tables stored by task, so that joins and aggregates by task need no shuffle of the rows.
 
-Usage and instance events are written as tables of the session's catalog, bucketed and sorted by the task's key. A bucket is one
+Usage and instance events are written as tables of the session's catalog, bucketed by the task's key. A bucket is one
 file, rows of a task are in the same bucket of both, and Spark reads bucket for bucket. It pays from the second query on; the
 first shuffle is the write. Choose at least as many buckets as shuffle partitions: with fewer Spark prefers to shuffle.
+Files are not sorted: joins sort what they read whether it is or not, and a sorted write compares rows by the bucket first,
+which it computes anew for each comparison.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from gridlapse.operators.lifecycle import (
     placed_tasks,
     with_lifecycles,
 )
-from gridlapse.plans.skew import lookup_join
+from gridlapse.plans.skew import key_counts, lookup_join
 
 
 @dataclass(frozen=True)
@@ -46,7 +48,7 @@ def write_task_tables(usage: DataFrame, instance_events: DataFrame, name: str, p
     keys = cell_keys(TASK_KEYS, usage, instance_events)
     for table, df in ((tables.usage, usage), (tables.events, instance_events)):
         gathered = df.repartition(buckets, *keys)  # one file for each bucket
-        written = gathered.write.bucketBy(buckets, *keys).sortBy(*keys).mode("overwrite").format("parquet")
+        written = gathered.write.bucketBy(buckets, *keys).mode("overwrite").format("parquet")
         written.option("path", f"{path}/{table}").saveAsTable(table)
     return tables
 
@@ -69,8 +71,10 @@ def tasks_with_lifecycles(spark: SparkSession, tables: TaskTables, machines: Dat
     instances = instance_lifecycle(events.where(complete))
     instances = instances.withColumnsRenamed({k: f"_own_{k}" for k in keys})
     own = found.join(instances, [F.col(k) == F.col(f"_own_{k}") for k in keys], "left").drop(*[f"_own_{k}" for k in keys])
-    collections = collection_lifecycle(collection_events)
-    attributes = lookup_join(own, collections, cell_keys([COLLECTION], own, collections))
+    of_collection = cell_keys([COLLECTION], own, collection_events)
+    # Without NULL keys, as with_lifecycles has them: the rows of the other way then reuse this aggregate.
+    collections = collection_lifecycle(collection_events).dropna(subset=of_collection)
+    attributes = lookup_join(own, collections, of_collection, counts=key_counts(found, of_collection))
     renamed = attributes.withColumnsRenamed({k: f"_task_{k}" for k in keys})
     joined = whole.join(renamed, [F.col(k) == F.col(f"_task_{k}") for k in keys], "left").drop(*[f"_task_{k}" for k in keys])
     joined = joined.withColumn("collection_type", F.coalesce(F.col("collection_type"), F.col("collection_type_event")).cast("long"))

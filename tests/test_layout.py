@@ -63,3 +63,21 @@ def test_task_rows_are_not_shuffled(spark, stored):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before[0])
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[1])
+
+
+def test_task_rows_stay_in_their_buckets_without_a_hint(spark, stored):
+    """Of the machine map Spark knows no size that it would broadcast; the written files need no sort by bucket."""
+    _, _, collections, machines = inputs(spark)
+    before = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        whole = layout.tasks_with_lifecycles(spark, stored, machines, collections)
+        joins = [n for n in nodes(whole._jdf.queryExecution().executedPlan()) if n.nodeName() == "SortMergeJoin" and "_task_collection_id" in n.simpleString(1000)]
+        left = joins[0].children().apply(0).toString()
+        assert "Bucketed: true" in left and "Exchange hashpartitioning(collection_id" not in left and "SortMergeJoin" not in left
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before[0])
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[1])
+    described = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE FORMATTED {stored.usage}").collect()}
+    assert described["Num Buckets"] == "6" and described.get("Sort Columns", "[]") == "[]"
