@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlapse.llm.common import stage, text_of
+from gridlapse.llm.common import split_listed, stage, text_of
 
 # Fixed value: a word is a run of ASCII letters and digits and of characters beyond ASCII.
 LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -144,9 +144,10 @@ def contaminated_pairs(
 def without_items(docs: DataFrame, found: DataFrame, *, text: str = "text") -> DataFrame:
     """The documents whose text holds no item, in their own columns.
 
-    The digests of the others are written first, so that Spark sends them to all tasks while they are small.
+    Documents that surely hold none stay where they are, the others are joined with the digests of those that do.
     """
     gone = stage(found.select(F.unhex("text_key").alias("gone")).distinct(), "with-items")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     keyed = docs.select(row, F.unhex(F.md5(text_of(text))).alias("own"))
-    return keyed.join(gone, F.col("own") == F.col("gone"), "left_anti").select("row.*")
+    may, others = split_listed(keyed, F.col("own"), gone, F.col("gone"))
+    return others.unionByName(may.join(gone, F.col("own") == F.col("gone"), "left_anti")).select("row.*")

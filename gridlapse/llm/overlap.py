@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlapse.llm.common import stage, text_of, utf8_lists
+from gridlapse.llm.common import split_listed, stage, text_of, utf8_lists
 from gridlapse.llm.graph import components
 from gridlapse.llm.simhash import shingle_hashes
 
@@ -271,6 +271,12 @@ def _across(rows: DataFrame) -> DataFrame:
     return _meetings(rows.withColumn("met", F.explode(met)).select("key", "hash", "size", "group", "map", "met.*"), pairs)
 
 
+def _listed(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts whose hash is in ``wanted``; no others are moved, but for some."""
+    may, _ = split_listed(texts, F.col("hash"), wanted, F.col("wanted"))
+    return may.join(wanted, F.col("hash") == F.col("wanted"), "left_semi")
+
+
 def _sets(texts: DataFrame) -> DataFrame:
     """Whole sets by ``hash``; few rows at a time, as those of long texts are large."""
 
@@ -297,7 +303,7 @@ def _near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose whole sets are near."""
     pairs = stage(pairs, "candidates")
     wanted = stage(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct(), "candidate-texts")
-    sets = stage(_sets(texts.join(wanted, F.col("hash") == F.col("wanted"), "left_semi")), "shingle-sets")
+    sets = stage(_sets(_listed(texts, wanted)), "shingle-sets")
     whole = pairs
     for end in "ab":
         whole = whole.join(sets.select(F.col("hash").alias(end), F.col("set").alias(f"set_{end}")), end)
@@ -341,7 +347,7 @@ def near_groups(texts: DataFrame, groups: DataFrame) -> DataFrame:
     often = np.sort(often.view(np.uint64))
     keyed = stage(_keyed_low(sketches, often), "keys-of-smallest")
     rest = stage(keyed.where("keys is null").select(F.col("hash").alias("wanted")), "texts-of-frequent")
-    rest = _keyed(texts.join(rest, F.col("hash") == F.col("wanted"), "left_semi"), often).dropDuplicates(["hash"])
+    rest = _keyed(_listed(texts, rest), often).dropDuplicates(["hash"])
     every = keyed.where("keys is not null").unionByName(rest)
     cells = every.select(F.explode("keys").alias("key"), "hash")
     shared = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("shared"))

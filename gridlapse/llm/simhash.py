@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlapse.llm.common import stage, text_of, utf8_lists
+from gridlapse.llm.common import split_listed, stage, text_of, utf8_lists
 from gridlapse.llm.graph import components
 
 SEED = 42
@@ -297,8 +297,7 @@ def keep_one(docs: DataFrame, found: DataFrame, *, doc_id: str = "doc_id", text:
 
     The one with the smallest id stays, among equal ids the one with the smallest text hash, and of
     equal rows one. Null ids are larger than any other. Only what goes, and the kept rows that come
-    more than once, are joined with the documents; each list is written first, so that Spark sends it
-    to all tasks while it is small.
+    more than once, are listed and joined with the documents, of which those that surely aren't listed stay where they are.
     """
     found = stage(found.select("doc_id", "hash", "group"), "grouped")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("hash").alias("hash"))
@@ -316,6 +315,7 @@ def keep_one(docs: DataFrame, found: DataFrame, *, doc_id: str = "doc_id", text:
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     keyed = docs.select(row, F.col(doc_id).cast("long").alias("own_id"), F.xxhash64(text_of(text)).alias("own_hash"))
     same = F.col("own_id").eqNullSafe(F.col("_id")) & (F.col("own_hash") == F.col("_hash"))
-    once = keyed.join(other, same, "left_anti")
-    again = keyed.join(repeated, same, "left_semi").dropDuplicates(["own_id", "own_hash"])
+    may, others = split_listed(keyed, F.xxhash64("own_id", "own_hash"), other, F.xxhash64("_id", "_hash"))
+    once = others.unionByName(may.join(other, same, "left_anti"))
+    again = may.join(repeated, same, "left_semi").dropDuplicates(["own_id", "own_hash"])
     return once.unionByName(again).select("row.*")

@@ -50,3 +50,24 @@ def by_id(df, *columns):
 
 
 sys.setrecursionlimit(10_000)
+
+
+def shuffled_records(frame):
+    """How many rows each exchange of the frame wrote; runs the frame."""
+    plan, found = frame._jdf.queryExecution().executedPlan(), []
+    frame._jdf.queryExecution().toRdd().count()  # this very plan, so that its metrics are filled
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            walk(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            walk(node.plan())
+        elif kind == "ShuffleExchangeExec":
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(plan)
+    return found

@@ -54,3 +54,17 @@ def test_files_of_tasks_go_with_their_block(spark):
         where = block.removeprefix("file:")
         assert any(f.endswith(".rec") for _, _, names in os.walk(where) for f in names)
     assert not os.path.exists(where)
+
+
+@pytest.mark.parametrize("most", [1, 1 << 18])
+def test_listed_rows_are_never_lost(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MARK_WORDS", most)
+    rows = spark.range(5000).selectExpr("if(id = 0, null, id) as a", "id as b").repartition(3)
+    listed = spark.createDataFrame([(None,)] + [(i,) for i in range(-400, 400, 2)], "x long")
+    may, others = common.split_listed(rows, rows.a, listed, listed.x)
+    assert may.columns == others.columns == ["a", "b"]
+    first, second = ({r.b for r in part.collect()} for part in (may, others))
+    assert first | second == set(range(5000)) and not first & second
+    assert set(range(0, 400, 2)) <= first and (most == 1 or len(first) < 1200)
+    none, every = common.split_listed(rows, rows.a, listed.where("false"), listed.x)
+    assert (none.count(), every.count()) == (0, 5000)

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 
 from gridlapse.llm import digest, graph, simhash, substrings
-from tests.llm.frames import by_id, documents, edited, odd_rows, prose
+from tests.llm.frames import by_id, documents, edited, odd_rows, prose, shuffled_records
 
 
 def plain_fingerprint(text: str | None, k: int) -> int:
@@ -97,6 +97,22 @@ def test_keep_one_of_each_group(spark):
     assert got == sorted(want, key=str)
 
 
+def test_keep_one_leaves_other_texts_where_they_are(spark):
+    rows = [(i, prose(i, 30)) for i in range(300)] + [(1000 + i, prose(i, 30)) for i in range(40)] + [(7, prose(7, 30))]
+    docs = simhash.stage(documents(spark, rows).repartition(4), "docs")
+    found = simhash.stage(simhash.near_duplicates(docs), "found")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as when the list is too long for all tasks
+    try:
+        kept = simhash.keep_one(docs, found)
+        got = kept.select("doc_id", "text").collect()
+        moved = shuffled_records(kept)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r.doc_id, r.text) for r in got) == [(i, prose(i, 30)) for i in range(300)]
+    assert moved and max(moved) < 120  # all rows are 341, 41 of them are listed
+
+
 def plain_removed(texts, length):
     count = {}
     for t in texts:
