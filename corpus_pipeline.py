@@ -14,7 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridlapse.llm import crf, decontaminate, mixing, overlap, records, simhash
-from gridlapse.llm.common import fresh_folder, table
+from gridlapse.llm.common import table
+from gridlapse.plans.stage import fresh_path
 
 #: The tokenizer of the last stage, and the id that ends a document.
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
@@ -69,7 +70,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; rows as :func:`gridlapse.llm.records.read_records` gives them."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = fresh_folder(spark, name.replace(" ", "-"))
+        path = fresh_path(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
