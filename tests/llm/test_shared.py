@@ -7,9 +7,9 @@ import pyarrow.fs as pafs
 import pytest
 
 import corpus_pipeline
-from gridlapse.llm import common
+from gridlapse.llm import common, substrings
 from gridlapse.plans import stage
-from tests.llm.frames import documents, odd_rows
+from tests.llm.frames import documents, odd_rows, prose
 
 
 @pytest.fixture
@@ -47,3 +47,10 @@ def test_token_records_of_the_pipeline(cluster, monkeypatch, tmp_path):
     documents(cluster, odd_rows()).write.parquet(f"{tmp_path}/documents.parquet")
     found = corpus_pipeline.run(cluster, str(tmp_path)).collect()
     assert sorted((r.doc_id is not None, r.doc_id or 0) for r in found) == sorted((r[0] is not None, r[0] or 0) for r in odd_rows())
+
+
+def test_repeated_strings(cluster):
+    shared = prose(1, 150)
+    rows = [(1, "a " + shared), (2, prose(2, 90)), (3, "b " + shared + " c"), (4, None)]
+    found = {r.doc_id: (r.n_bytes, bytes(r.kept)) for r in substrings.remove_repeats(documents(cluster, rows)).collect()}
+    assert found == {1: (len(rows[0][1]), b"a"), 2: (len(rows[1][1]), rows[1][1].encode()), 3: (len(rows[2][1]), b"b c"), 4: (0, b"")}
