@@ -7,7 +7,7 @@ import pyarrow.fs as pafs
 import pytest
 
 import corpus_pipeline
-from gridlapse.llm import common, substrings
+from gridlapse.llm import common, substrings, warc
 from gridlapse.plans import stage
 from tests.llm.frames import documents, odd_rows, prose
 
@@ -54,3 +54,11 @@ def test_repeated_strings(cluster):
     rows = [(1, "a " + shared), (2, prose(2, 90)), (3, "b " + shared + " c"), (4, None)]
     found = {r.doc_id: (r.n_bytes, bytes(r.kept)) for r in substrings.remove_repeats(documents(cluster, rows)).collect()}
     assert found == {1: (len(rows[0][1]), b"a"), 2: (len(rows[1][1]), rows[1][1].encode()), 3: (len(rows[2][1]), b"b c"), 4: (0, b"")}
+
+
+def test_archives(cluster, tmp_path):
+    rows = [(1, "u1", "x" * 200), (2, None, "x" * 200), (3, "u3", None)]
+    manifest = warc.archive(cluster.createDataFrame(rows, "page_id long, url string, html string"))
+    assert all(r.path.startswith(f"file:{tmp_path}/warc-") for r in manifest.collect())
+    found = [(r.page_id, r.payload_bytes, r.record_type, r.refers_to, r.verified) for r in warc.read_archives(manifest).collect()]
+    assert sorted(found) == [(1, 200, "response", None, True), (2, 200, "revisit", 1, True), (3, 0, "response", None, True)]
