@@ -7,7 +7,7 @@ import pyarrow.fs as pafs
 import pytest
 
 import corpus_pipeline
-from gridlapse.llm import common, substrings, warc
+from gridlapse.llm import common, queries, substrings, warc
 from gridlapse.plans import stage
 from tests.llm.frames import documents, odd_rows, prose
 
@@ -62,3 +62,11 @@ def test_archives(cluster, tmp_path):
     assert all(r.path.startswith(f"file:{tmp_path}/warc-") for r in manifest.collect())
     found = [(r.page_id, r.payload_bytes, r.record_type, r.refers_to, r.verified) for r in warc.read_archives(manifest).collect()]
     assert sorted(found) == [(1, 200, "response", None, True), (2, 200, "revisit", 1, True), (3, 0, "response", None, True)]
+
+
+def test_token_records(cluster, tmp_path):
+    rows = [(3, "three words here"), (1, "one"), (2, None)]
+    documents(cluster, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted((r.doc_id, r.start) for r in queries.op5_token_records(cluster, str(tmp_path)).collect())
+    assert [f[0] for f in found] == [1, 2, 3] and found[0][1] == 0 and found[2][1] == found[1][1] + 1
+    assert any(f.endswith(".rec") for _, _, names in os.walk(tmp_path) for f in names)
